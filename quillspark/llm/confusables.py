@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 #: Letters of other scripts beside the Latin letters they look like.
 LOOK_ALIKES = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "E": "ЕΕᎬ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "E": "ЕΕᎬ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ",
     "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ",
+    "a": "аα", "c": "с", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ",
     "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγү", "ï": "ї", "ë": "ё", "Ï": "Ї", "Ë": "Ё", "ó": "ό", "í": "ί", "á": "ά", "é": "έ", "ú": "ύ",
 }
 #: Hyphens, and characters without a width of their own.
@@ -114,7 +114,7 @@ class Rewriter:
 
         self.rep = representatives(counts)
         self.plain = representatives(counts, look_alikes=False)
-        self.alike = {c for others in LOOK_ALIKES.values() for c in others}
+        self.alike = {m for m, r in self.rep.items() if self.plain.get(m, m) != r}  # rewritten for their looks only
         self.auto = ahocorasick.Automaton()
         for m, r in self.rep.items():
             self.auto.add_word(m, (m, r))

@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import confusables, distinctive, packing
+from quillspark.llm import confusables, distinctive, markup, packing, survivor
 from quillspark.session import table
 
 
+WIKI_FIELDS = ("wiki_bio", "wiki_club", "wiki_birth_place")
+
+
+def _wiki_values(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "wiki_df").select("wiki_id", *WIKI_FIELDS).distinct()
+    return w.select("wiki_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in WIKI_FIELDS])).alias("v")).select("wiki_id", "v.field", "v.value").where("value IS NOT NULL")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.carries_markup(_wiki_values(spark, d), "value", "marked").where("marked").select("wiki_id", "field").distinct()
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean(_wiki_values(spark, d), "field", "value", "clean").select("wiki_id", "field", "clean")
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "lookups").select("doc_id", "site", "raw_html").where("raw_html IS NOT NULL").distinct()
+    return markup.clean(pages, "site", "raw_html", "clean").select("doc_id", "site", "clean")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df"))
+    return won.where("usable").select("name_norm", "field", F.col("record").alias("wiki_id"))
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df")).where("usable")
+    return won.groupBy("name_norm").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("wiki_bio", "wiki_height")])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     both = table(spark, d, "athletes").select(F.lit("athletes").alias("tbl"), F.col("ath_id").alias("row_id"), "name").unionByName(table(spark, d, "wiki_df").select(F.lit("wiki_df").alias("tbl"), F.col("wiki_id").alias("row_id"), "name"))
     return confusables.odd_names(both, "name").select("tbl", "row_id").distinct()
@@ -36,7 +67,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill}
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill}
 
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
