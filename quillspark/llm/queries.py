@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import confusables, distinctive, markup, packing, survivor
+from quillspark.llm import abuse, confusables, distinctive, leakage, markup, packing, survivor
 from quillspark.session import table
 
 
@@ -67,7 +67,29 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = abuse.train(docs, table(spark, d, "tox_labels"), table(spark, d, "abuse_terms"))
+    return abuse.score_documents(docs, model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score > 0").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).withColumn("score", F.round("score", 3))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
