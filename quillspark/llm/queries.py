@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import abuse, confusables, distinctive, leakage, markup, packing, survivor
+from quillspark.llm import abuse, boilerplate, confusables, distinctive, leakage, markup, packing, survivor
 from quillspark.session import table
 
 
@@ -30,6 +30,16 @@ def p2_pages(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean(pages, "site", "raw_html", "clean").select("doc_id", "site", "clean")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "lookups")
+    return boilerplate.boilerplate_lines(pages, boilerplate.train(pages))
+
+
+def p4_content(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "lookups")
+    return boilerplate.label_lines(pages, boilerplate.train(pages)).select("doc_id", "content").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df"))
     return won.where("usable").select("name_norm", "field", F.col("record").alias("wiki_id"))
@@ -89,7 +99,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
