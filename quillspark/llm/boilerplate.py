@@ -300,4 +300,4 @@ def label_lines(pages: DataFrame, model: Classifier, doc_id: str = "doc_id", raw
 def boilerplate_lines(pages: DataFrame, model: Classifier, doc_id: str = "doc_id", raw: str = "raw_html", text: str = "text") -> DataFrame:
     """(doc_id, line_no), one row a line of boilerplate; copies of a page count once."""
     got = label_lines(pages, model, doc_id, raw, text).select(doc_id, "boilerplate").dropDuplicates()
-    return got.select(doc_id, F.explode("boilerplate").cast("long").alias("line_no")).distinct()
+    return got.select(doc_id, F.explode("boilerplate").alias("line_no")).withColumn("line_no", F.col("line_no").cast("long")).distinct()

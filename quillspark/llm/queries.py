@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import abuse, boilerplate, confusables, distinctive, leakage, markup, packing, survivor
+from quillspark.llm import abuse, boilerplate, confusables, distinctive, leakage, linkage, markup, packing, survivor
 from quillspark.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(table(spark, d, "athletes"), table(spark, d, "wiki_df")).select("ath_id", "wiki_id").distinct()
+
+
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(table(spark, d, "athletes"), table(spark, d, "wiki_df")).withColumn("confidence", F.round("confidence", 3))
+
+
 WIKI_FIELDS = ("wiki_bio", "wiki_club", "wiki_birth_place")
 
 
@@ -99,7 +107,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
