@@ -24,12 +24,18 @@ DECAY = 0.75
 WORD_SPAN = 4
 WORD_DIMS = 1 << 16
 CHAR_DIMS = 32**3
-#: Bounds of the fitted sample: labelled documents of each label (by hash of their id), sentences of clean documents in
-#: the first round (later rounds add those that are scored wrongly), and landmarks.
+#: Bounds of the fitted sample: toxic and clean labelled documents (by hash of their id), sentences of clean documents in
+#: the first round (later rounds add those that are scored wrongly), and landmarks
+#: with the sentences of either label that they are chosen from.
 LABELLED = 1500
+CLEAN = 2000
 NEGATIVES = 6000
-LANDMARKS = 320
-ROUNDS = 5
+LANDMARKS = 440
+POOL = 2000
+ROUNDS = 3
+PIECE = 1000
+#: Cosine above which two sentences count as near.
+NEAR = 0.55
 
 _PLAIN = re.compile(r"[^\x00-ɏ‘-”«»…–—]")
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -124,12 +130,44 @@ def _score(folded: list[str], weights: tuple[np.ndarray, np.ndarray], bias: floa
     return (top / np.sqrt(np.maximum(norm, 1e-9))).sum(0) + bias
 
 
-def _matrix(folded: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse normalised feature vectors, one (index, value) a sentence; word features follow the character features."""
-    return [x for lo in range(0, len(folded), 1000) for x in _rows(folded[lo : lo + 1000])]
+def _landmarks(pool: _Matrix, m: int, dims: int) -> list[int]:
+    """The ``m`` sentences of a pool that span the kernel best: greedily the one that those before explain least."""
+    n, idx, val = len(pool), pool.idx, pool.val
+    own = np.repeat(np.arange(n), np.diff(pool.cut))
+    left = np.bincount(own, val.astype(np.float64) ** 2, n)
+    g = np.zeros((n, m), dtype=np.float32)
+    chosen: list[int] = []
+    for j in range(min(m, n)):
+        i = int(left.argmax())
+        if left[i] < 1e-3:
+            break
+        chosen.append(i)
+        pivot = np.zeros(dims, dtype=np.float32)
+        pivot[pool[i][0]] = pool[i][1]
+        col = np.bincount(own, pivot[idx] * val, n) - g[:, :j] @ g[i, :j]
+        g[:, j] = col / np.sqrt(left[i])
+        left = np.maximum(left - g[:, j].astype(np.float64) ** 2, 0.0)
+        left[i] = 0.0
+    return chosen
+
+
+class _Matrix:
+    """Sparse normalised feature vectors in three arrays; word features follow the character features."""
+
+    def __init__(self, folded: list[str]):
+        parts = [_rows(folded[lo : lo + 1000]) for lo in range(0, len(folded), 1000)]
+        self.cut = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))]) if parts else np.zeros(1, int)
+        self.idx = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
+        self.val = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.cut) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.idx[self.cut[i] : self.cut[i + 1]], self.val[self.cut[i] : self.cut[i + 1]]
 
 
-def _rows(folded: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _rows(folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(folded)
     parts, norm = [], np.zeros((2, n))
     for block, idx, weight, own in Features()(folded):
@@ -143,21 +181,20 @@ def _rows(folded: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     key, val = key[order], val[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     val, key = np.add.reduceat(val, first), key[first]
-    cut = np.searchsorted(key, np.arange(n + 1) * (CHAR_DIMS + WORD_DIMS))
-    return [((key[a:b] % (CHAR_DIMS + WORD_DIMS)).astype(np.int32), val[a:b].astype(np.float32)) for a, b in zip(cut, cut[1:])]
+    return (key % (CHAR_DIMS + WORD_DIMS)).astype(np.int32), val.astype(np.float32), np.bincount(key // (CHAR_DIMS + WORD_DIMS), minlength=n)
 
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps on the active set."""
-    x = np.hstack([z, np.ones((len(z), 1))])
+    x = np.hstack([z, np.ones((len(z), 1), dtype=z.dtype)])
     w = np.zeros(x.shape[1])
     reg = ridge * np.eye(x.shape[1])
     reg[-1, -1] = 1e-3
     for _ in range(25):
-        active = y * (x @ w) < 1
-        a = x[active] * cost[active, None]
-        new = np.linalg.solve(x[active].T @ a + reg, a.T @ y[active])
-        if np.abs(new - w).max() < 1e-5:
+        active = y * (x @ w.astype(x.dtype)) < 1
+        a = x[active] * np.sqrt(cost[active, None]).astype(x.dtype)
+        new = np.linalg.solve((a.T @ a).astype(np.float64) + reg, (a.T @ (y[active] * np.sqrt(cost[active])).astype(x.dtype)).astype(np.float64))
+        if np.abs(new - w).max() < 1e-4:
             break
         w = new
     return w[:-1], float(w[-1])
@@ -173,12 +210,14 @@ class Model:
         return _score([fold(s) for s in raw], self.weights, self.bias, features) if raw else np.zeros(0)
 
 
-def fit(documents: list[tuple[list[str], float]], terms: list[str]) -> Model | None:
+def fit(documents: list[tuple[list[str], float]], terms: list[str], clean_weight: float = 1.0) -> Model | None:
     """Train on labelled documents as bags of sentences: (sentences, label of 0 or 1 or a share between).
 
-    Sentences of clean documents are negative. In a toxic document those are positive that the model of the round
-    before calls so, and at least one; the first round takes sentences with a word of the list, else the one whose words
-    are most particular to toxic documents. None if either label is missing."""
+    A document's label says that some sentence is abusive, not which, and raters err. A sentence of a toxic document is
+    positive if most sentences near it in kernel space stand in other toxic documents, negative if they stand in clean
+    ones as well; of a toxic document's sentences without near ones the best may be positive: first by how particular
+    its words are to toxic documents and by the word list, then by the model. ``clean_weight``: how many clean documents
+    each of the sample stands for. None if either label is missing."""
     bags = [([fold(s) for s in ss], label) for ss, label in documents if ss and label != 0.5]
     if not any(v > 0.5 for _, v in bags) or not any(v < 0.5 for _, v in bags):
         return None
@@ -189,69 +228,106 @@ def fit(documents: list[tuple[list[str], float]], terms: list[str]) -> Model | N
         bag += [i] * len(ss)
     bag_of, label = np.array(bag), np.array([v > 0.5 for _, v in bags])
     toxic = label[bag_of]
-    rows = _matrix(text)
+    n = len(text)
     rnd = np.random.default_rng(5)
     dims = CHAR_DIMS + WORD_DIMS
-    # words particular to toxic documents, for the first round
-    pos_n, neg_n = np.zeros(dims), np.zeros(dims)
-    for r, t in zip(rows, toxic):
-        words = r[0][r[0] >= CHAR_DIMS]
-        (pos_n if t else neg_n)[words] += 1
-    odds = np.log((pos_n + 0.2) / (pos_n.sum() + 1)) - np.log((neg_n + 0.2) / (neg_n.sum() + 1))
-    novelty = np.array([odds[r[0][r[0] >= CHAR_DIMS]].mean() if (r[0] >= CHAR_DIMS).any() else -9.0 for r in rows])
+    # words particular to toxic documents; features are made in pieces and not kept
+    seen = np.zeros((2, dims))
+    for lo in range(0, n, PIECE):
+        idx, _, size = _rows(text[lo : lo + PIECE])
+        own = np.repeat(toxic[lo : lo + PIECE], size)
+        word = idx >= CHAR_DIMS
+        for t in (0, 1):
+            seen[t] += np.bincount(idx[word & (own == bool(t))], minlength=dims)
+    odds = np.log((seen[1] + 0.2) / (seen[1].sum() + 1)) - np.log((seen[0] + 0.2) / (seen[0].sum() + 1))
+    novelty = np.full(n, -9.0)
+    for lo in range(0, n, PIECE):
+        idx, _, size = _rows(text[lo : lo + PIECE])
+        word, own = idx >= CHAR_DIMS, np.repeat(np.arange(len(size)), size)
+        many = np.bincount(own[word], minlength=len(size))
+        mean = np.bincount(own[word], odds[idx[word]], len(size)) / np.maximum(many, 1)
+        novelty[lo : lo + PIECE] = np.where(many > 0, mean, -9.0)
     listed = re.compile(r"\b(?:" + "|".join(re.escape(fold(t)) for t in terms) + r")") if terms else None
-    hit = np.array([bool(listed and listed.search(s)) for s in text])
-    current = novelty + 2.0 * hit
-    y = np.where(toxic & hit & (novelty > 0), 1.0, -1.0)
-
-    def at_least_one(y: np.ndarray, score: np.ndarray) -> np.ndarray:
-        for b in np.flatnonzero(label):
-            own = np.flatnonzero(bag_of == b)
-            if (y[own] < 0).all():
-                best = own[score[own].argmax()]
-                if score[best] > -0.6:  # otherwise the rater was wrong
-                    y[best] = 1.0
-        return y
-
-    y = at_least_one(y, current)
-    clean = np.flatnonzero(~toxic)
-    work = np.union1d(np.flatnonzero(toxic), rnd.permutation(clean)[:NEGATIVES])
-    every = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    v, b = np.zeros(dims), 0.0
-    for _ in range(ROUNDS):
-        pos, neg = np.flatnonzero(y > 0), work[y[work] < 0]
-        if not len(pos):
+    hit = np.array([bool(listed and listed.search(t)) for t in text])
+    current = novelty + hit
+
+    def best_of_bags(score: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """The best sentence of each bag that ``among`` has sentences of."""
+        order = among[np.lexsort((among, -score[among], bag_of[among]))]
+        return order[np.r_[True, np.diff(bag_of[order]) > 0]] if len(order) else order
+
+    in_toxic, in_clean = np.flatnonzero(toxic), np.flatnonzero(~toxic)
+    first = best_of_bags(current, np.flatnonzero(toxic))
+    rest = np.setdiff1d(np.arange(n), first)
+    pools = [rnd.permutation(p)[:POOL] for p in (first, rest)]
+    marked = [_Matrix([text[i] for i in p]) for p in pools]
+    picked = [_landmarks(m, LANDMARKS // 2, dims) for m in marked]
+    chosen = [m[i] for m, p in zip(marked, picked) for i in p]
+    used = np.unique(np.concatenate([c[0] for c in chosen]))
+    at = np.zeros(dims, dtype=np.int32)  # row of a feature among those that landmarks have; row 0 is empty
+    at[used] = np.arange(1, len(used) + 1)
+    marks = np.zeros((len(used) + 1, len(chosen)), dtype=np.float32)
+    for i, (idx, val) in enumerate(chosen):
+        marks[at[idx], i] = val
+    among = np.stack([val @ marks[at[idx]] for idx, val in chosen]).astype(np.float64)
+    del marked, chosen
+    values, vectors = np.linalg.eigh((among + among.T) / 2)
+    keep = values > 1e-4 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    z = np.empty((n, root.shape[1]), dtype=np.float32)
+    for lo in range(0, n, PIECE):
+        idx, val, size = _rows(text[lo : lo + PIECE])
+        cut = np.concatenate([[0], np.cumsum(size)])
+        k = np.stack([val[a:b] @ marks[at[idx[a:b]]] for a, b in zip(cut, cut[1:])])
+        z[lo : lo + PIECE] = k @ root.astype(np.float32)
+    # of a sentence's nearest sentences in other documents, the share in toxic ones: high for abuse, low for decoys
+    length = np.maximum(np.linalg.norm(z, axis=1), 1e-6)
+    share, near = np.zeros(n), np.zeros(n, dtype=int)
+    for lo in range(0, n, 250):
+        like = (z[lo : lo + 250] / length[lo : lo + 250, None]) @ z.T > NEAR * length[None, :]
+        like &= bag_of[lo : lo + 250, None] != bag_of[None, :]
+        bad = like[:, toxic].sum(1)
+        near[lo : lo + 250] = like.sum(1)
+        share[lo : lo + 250] = bad / np.maximum(bad + clean_weight * (near[lo : lo + 250] - bad), 1e-9)
+    known = near >= 3
+    y = np.where(toxic, 0.0, -1.0)
+    y[known & (share < 0.6)] = -1.0
+    y[known & (share >= 0.75)] = np.where(toxic[known & (share >= 0.75)], 1.0, 0.0)
+    rare = best_of_bags(current, np.flatnonzero(toxic & ~known & (current > 0.5)))
+    has = np.zeros(len(bags), bool)
+    has[bag_of[y > 0]] = True
+    y[rare[~has[bag_of[rare]]]] = 1.0
+    w, b = np.zeros(z.shape[1]), 0.0
+    for step in range(ROUNDS):
+        pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
+        if not len(pos) or not len(neg):
             return None
-        chosen = np.concatenate([rnd.permutation(pos)[: LANDMARKS // 2], rnd.permutation(neg)[: LANDMARKS // 2]])
-        marks = np.zeros((dims, len(chosen)), dtype=np.float32)
-        for i, c in enumerate(chosen):
-            marks[rows[c][0], i] = rows[c][1]
-        use = np.union1d(work, pos)
-        k = np.stack([rows[i][1] @ marks[rows[i][0]] for i in use]).astype(np.float64)
-        among = k[np.searchsorted(use, chosen)]
-        values, vectors = np.linalg.eigh((among + among.T) / 2)
-        keep = values > 1e-6 * values.max()
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        own = y[use]
-        cost = np.where(own > 0, len(own) / (2 * (own > 0).sum()), len(own) / (2 * max((own < 0).sum(), 1))) ** 0.5
-        w, b = _svm(k @ root, own, cost)
-        v = marks.astype(np.float64) @ (root @ w)
-        score = np.bincount(every[2], v[every[0]] * every[1], len(rows)) + b
-        y = at_least_one(np.where(toxic & (score > 0), 1.0, -1.0), score)
-        work = np.union1d(work, clean[score[clean] > -0.7])
+        use = np.concatenate([pos, neg])
+        cost = np.where(y[use] > 0, len(use) / (2 * len(pos)), len(use) / (2 * len(neg))) ** 0.5
+        w, b = _svm(z[use], y[use], cost)
+        score = z @ w + b
+        has[:] = False
+        has[bag_of[(y > 0) | (toxic & (score > 0.3) & ~(known & (share < 0.6)))]] = True
+        loose = toxic & ~known
+        y[loose] = np.where(score[loose] > 0.3, 1.0, np.where(score[loose] < -0.6, -1.0, 0.0))
+        more = best_of_bags(score, np.flatnonzero(loose & ~has[bag_of] & (score > -0.3)))
+        y[more] = 1.0
+    v = np.zeros(dims)
+    v[used] = (marks @ (root @ w).astype(np.float32))[1:]
     return Model(v[:CHAR_DIMS], v[CHAR_DIMS:], b)
 
 
-def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED) -> Model | None:
-    """Fit on at most ``limit`` labelled documents of each label, the first by hash of their id. Copied ratings count once, a document's
+def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED, clean: int = CLEAN) -> Model | None:
+    """Fit on at most ``limit`` toxic and ``clean`` clean labelled documents, the first by hash of their id. Copied ratings count once, a document's
     label is the majority of its raters, ties and NULL ratings don't count."""
     votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic", "rater", "rated_at").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    few = votes.where("y > 0.5").orderBy(*order).limit(limit).unionAll(votes.where("y < 0.5").orderBy(*order).limit(limit))
-    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL").dropDuplicates(["doc_id"])  # at most twice ``limit`` rows
+    few = votes.where("y > 0.5").orderBy(*order).limit(limit).unionAll(votes.where("y < 0.5").orderBy(*order).limit(clean))
+    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL").dropDuplicates(["doc_id"])  # at most ``limit`` + ``clean`` rows
     data = [(sentences(r["text"]), float(r["y"])) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
     words = [r["term"] for r in terms.where("term IS NOT NULL AND weight >= 2").select("term").distinct().collect()] if terms is not None else []
-    return fit(data, sorted(words))
+    all_clean = votes.where("y < 0.5").count()
+    return fit(data, sorted(words), max(1.0, all_clean / max(sum(v < 0.5 for _, v in data), 1)))
 
 
 def score_documents(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
