@@ -36,5 +36,4 @@ def distinctiveness(posts: DataFrame, prior: float = 500.0) -> DataFrame:
 
 def top_term(scored: DataFrame, by: str = "weight") -> DataFrame:
     """(doc_id, term) with the largest ``by`` of each page; the first term in code-point order if equal."""
-    best = F.max_by("term", F.struct(by, F.transform(F.split("term", ""), lambda c: -F.ascii(c))))
-    return scored.groupBy("doc_id").agg(best.alias("term"))
+    return scored.groupBy("doc_id").agg(F.min_by("term", F.struct(-F.col(by), "term")).alias("term"))
