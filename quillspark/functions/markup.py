@@ -66,7 +66,7 @@ def medal_counts_strict(html: Column) -> dict[str, Column]:
     """The older reading: the count stands in a medal-main span after the module; colours in any case; 0 if missing."""
     form = r"(?i)<div[^>]*data-cy=[\"']medal-module[\"'][^>]*title=[\"'](Gold|Silver|Bronze)[\"'][\s\S]*?<span[^>]*data-cy=[\"']medal-main[\"'][^>]*>[\s\S]*?>(\d+)<"
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(form), F.lit(1)).alias("c"), F.regexp_extract_all(html, F.lit(form), F.lit(2)).alias("n"))
-    return {m.lower(): F.coalesce(F.aggregate(F.filter(pairs, lambda p: F.lower(p["0"]) == m.lower()), F.lit(0), lambda a, p: a + p["1"].cast("int")), F.lit(0)) for m in MEDALS}
+    return {m.lower(): F.coalesce(F.aggregate(F.filter(pairs, lambda p: F.lower(p["c"]) == m.lower()), F.lit(0), lambda a, p: a + p["n"].cast("int")), F.lit(0)) for m in MEDALS}
 
 
 def text_blocks(html: Column, minlen: int = 30) -> Column:

@@ -60,8 +60,8 @@ def load_index(spark, path: str) -> Index:
 
 
 def export_json(index: Index) -> DataFrame:
-    """One JSON line a term: {"term", "df", "idf", "postings": {doc: tf}}, documents in order; for other programs."""
-    # lists of at most so many postings, so that a common term isn't gathered in one row
+    """JSON lines {"term", "part", "df", "idf", "postings": {doc: tf}} for other programs; a term has a line for each of 64
+    parts of the documents that it occurs in, so that a common term isn't gathered in one row."""
     part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
     lists = index.postings.groupBy("term", part.alias("part")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("d"), "tf")))).alias("postings"))
     return lists.join(index.terms, "term").select(F.to_json(F.struct("term", "part", "df", "idf", "postings")).alias("json"))
