@@ -82,7 +82,7 @@ def test_markup():
     assert not bad
     bad = [x[:40] for x in UNMARKED if markup.parse(x).size() > markup.match(markup.parse(x), markup.PLAIN)]
     assert not bad
-    assert markup.strip("<h2>Early</h2><p>A [[b|c]] {{convert|3|m}}</p><ul><li>one</li><li>two</li></ul><pre>x = 1\ny</pre> $$e=1$$") == "## Early\n\nA c 3 m\n\n- one\n- two\n```\nx = 1\ny\n```\n$e=1$"
+    assert markup.strip("<h2>Early</h2><p>A [[b|c]] {{convert|3|m}}</p><ul><li>one</li><li>two</li></ul><pre>x = 1\ny</pre> $$e=1$$") == "## Early\n\nA c 3 m\n\n- one\n- two\n\n```\nx = 1\ny\n```\n $e=1$"
     assert markup.strip(None) is None and markup.strip("") == "" and len(markup.strip("{{" * 3000 + "x")) < 10_000
 
 
