@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import markup as mk
@@ -45,12 +46,50 @@ def extract_wiki(dump: DataFrame) -> DataFrame:
     return heads.select(mk.title_name(F.col("title")).alias("name"), *[v.alias(c) for c, v in values.items()], mk.biography(F.col("text")).alias("wiki_bio"))
 
 
+#: Names held against all texts in one pass: a nested loop in the JVM up to the first bound, an automaton up to the second.
+LOOP_NAMES, BLOCK_NAMES = 500, 200_000
+
+
 def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
     """Pairs where a text contains a name, anywhere, not only at words. An empty name is in every text, NULL in none.
 
-    This is a theta-join: each text is held against all names. The names are broadcast if a count shows they are few;
-    beyond that their rarest tokens are joined (``substring_join_tokens``)."""
-    return texts.join(broadcast_if_small(names), F.contains(F.col(text), F.col(name)))
+    A theta-join: the names are the query set and are held against all texts in blocks, whose number follows from a
+    count, so nothing unbounded is broadcast and texts are not shuffled. Few names make a broadcast nested loop; more
+    are found in one pass over each text by an automaton of all names of the block. Repeated names give repeated pairs."""
+    known = names.where(F.col(name).isNotNull())
+    n = known.select(name).distinct().count()
+    if n <= LOOP_NAMES:
+        return texts.join(broadcast_if_small(known), F.contains(F.col(text), F.col(name)))
+    blocks = -(-n // BLOCK_NAMES)
+    out = None
+    for i in range(blocks):
+        block = known.select(name).distinct().where(F.pmod(F.xxhash64(name), F.lit(blocks)) == i)
+        part = texts.withColumn(name, F.explode(_names_in(text, [r[0] for r in block.collect()])))  # at most about BLOCK_NAMES
+        out = part if out is None else out.unionByName(part)
+    if len(names.columns) == 1 and known.count() == n:
+        return out
+    return out.join(known, name)
+
+
+def _names_in(text: str, names: list[str]) -> Column:
+    """The names that each text contains, as an array."""
+    kept: dict = {}
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        if "a" not in kept:
+            import ahocorasick
+
+            kept["a"] = ahocorasick.Automaton()
+            for w in names:
+                if w:
+                    kept["a"].add_word(w, w)
+            kept["a"].make_automaton()
+        blank = [""] if "" in names else []
+        auto = kept["a"] if len(kept["a"]) else None
+        return texts.map(lambda t: None if t is None else sorted({w for _, w in auto.iter(t)} if auto else ()) + blank, na_action=None)
+
+    return find(F.col(text))
 
 
 def substring_join_tokens(texts: DataFrame, names: DataFrame, text: str, name: str, key: str) -> DataFrame:

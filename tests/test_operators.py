@@ -105,6 +105,10 @@ def test_entities(spark):
     names = spark.createDataFrame([("ann lee",), ("",), (None,), ("bo",)], "n string")
     got = {(r["d"], r["n"]) for r in entity.substring_join(texts, names, "t", "n").collect()}
     assert got == {(1, "ann lee"), (2, "ann lee"), (1, ""), (2, "")}
+    entity.LOOP_NAMES, bound = 0, entity.LOOP_NAMES  # the automaton finds the same
+    again = entity.substring_join(texts, names.unionByName(names), "t", "n").collect()
+    entity.LOOP_NAMES = bound
+    assert {(r["d"], r["n"]) for r in again} == got and len(again) == 2 * len(got)
     long = spark.createDataFrame([("ann b lee",), ("n b le",), ("bo",)], "n string")
     t2 = spark.createDataFrame([(1, "joann b leeds"), (2, "ann c lee"), (3, "ann bb lee")], "d int, t string")
     by_tokens = {(r["d"], r["n"]) for r in entity.substring_join_tokens(t2, long, "t", "n", "n").collect()}
