@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as tx
 from quillspark.operators.index import FIELDS, KEYWORDS, Field, FieldIndex, Index, build_field_index
 from quillspark.plans.query_lang import AttributeQuery, FilterQuery, parse_attributes, parse_filters, text_tokens
+from quillspark.session import broadcast_if_small
 
 DIGITS = 6
 
@@ -30,14 +31,15 @@ def bm25_weight(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float =
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def scores(index: Index, terms: DataFrame, by: Sequence[str] = (), rank: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def scores(index: Index, terms: DataFrame, by: Sequence[str] = (), rank: str = "bm25", k1: float = 1.2, b: float = 0.75, few: bool = False) -> DataFrame:
     """(*by, doc_id, score) for query terms (*by, term, qtf): every document with some term; unknown terms do nothing.
 
-    The terms are broadcast if a count shows they are few, which they are for one query; postings are filtered by them
-    before anything is shuffled, and scores are summed map-side first."""
-    from quillspark.session import broadcast_if_small
-
-    hits = index.postings.join(broadcast_if_small(terms), "term").join(index.terms.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi"), "term")
+    The terms of one query (``few``) are broadcast, those of a table of queries if a count shows that they are few;
+    postings are filtered by them before anything is shuffled, and scores are summed map-side first."""
+    terms = F.broadcast(terms) if few else broadcast_if_small(terms)
+    hits = index.postings.join(terms, "term")
+    wanted = index.terms.join(terms.select("term").distinct() if not few else F.broadcast(terms.select("term")), "term", "left_semi")
+    hits = hits.join(wanted, "term")
     if rank == "tfidf":
         w = F.col("tf") * F.col("idf")
     else:
@@ -48,7 +50,7 @@ def scores(index: Index, terms: DataFrame, by: Sequence[str] = (), rank: str = "
 
 def search_text(index: Index, query: str, rank: str = "bm25", k: int = 10, urls: DataFrame | None = None) -> DataFrame:
     """(rank, doc_id, score[, url]): the k best documents; equal scores by doc_id. No words: no rows."""
-    top = scores(index, query_terms(index.postings.sparkSession, query), rank=rank).orderBy(F.desc("score"), "doc_id").limit(k)
+    top = scores(index, query_terms(index.postings.sparkSession, query), rank=rank, few=True).orderBy(F.desc("score"), "doc_id").limit(k)
     if urls is not None:
         top = top.join(urls, "doc_id", "left").withColumn("url", F.coalesce("url", F.lit("")))
     return numbered(top)

@@ -29,7 +29,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def _index(spark, d, method="", keep=False) -> index.Index:
+def _index(spark, d, method="", keep=True) -> index.Index:
     return index.build_index(docs(spark, d), method=method, keep=keep)
 
 
@@ -43,15 +43,15 @@ def query_tokens(spark, d):
 
 
 def postings(spark, d):
-    return _index(spark, d).postings
+    return _index(spark, d, keep=False).postings
 
 
 def doc_freq(spark, d):
-    return _index(spark, d).terms.select("term", "df")
+    return index.index_of(index.tokenized(docs(spark, d))).postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def doc_stats(spark, d):
-    return _index(spark, d).docs
+    return _index(spark, d, keep=False).docs
 
 
 def vocab_size(spark, d):
@@ -68,7 +68,7 @@ def _topk(rank, method):
 
 
 def multi_query_topk(spark, d):
-    return search.search_many(_index(spark, d, "bm25", keep=True), table(spark, d, "heldout_items"), "item_id", "text", k=5).select("item_id", "rank", "doc_id", "score")
+    return search.search_many(_index(spark, d, "bm25"), table(spark, d, "heldout_items"), "item_id", "text", k=5).select("item_id", "rank", "doc_id", "score")
 
 
 def fold_equality_filter(spark, d):
