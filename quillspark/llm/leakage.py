@@ -20,14 +20,19 @@ WINDOW = 16
 WALKS = 4
 TABLES = 6
 PLACES = 4
+#: Windows of a document with fewer words that occur in any item can't hold half of one and aren't embedded.
+KNOWN = 8
 #: Share of an item's words that must be aligned in one stretch.
 SHARE = 0.34
 BLOCK = 5000
+#: Characters of documents that are scanned at once.
+PIECE_CHARS = 2_500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
 _REMARK = re.compile(r"\[[^\[\]\n]{1,40}\]")
 _JOINED = re.compile(r"(?<=\w)['’`´](?=\w)")
+_GONE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) == "Cf") + "]+")
 _CUTS = re.compile(r"[.:?!]\s+")
 
 
@@ -37,7 +42,7 @@ def words(text: str | None) -> list[str]:
         return []
     t = unicodedata.normalize("NFKD", _JOINED.sub("", _REMARK.sub(" ", _BROKEN.sub("", text))))
     if not t.isascii():
-        t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        t = _GONE.sub("", t)
     return _WORD.findall(t.lower())
 
 
@@ -104,10 +109,10 @@ def _places(seed: int) -> list[list[list[int]]]:
     return out
 
 
-def signatures(symbols: np.ndarray, seed: int = 11) -> Iterator[np.ndarray]:
-    """For each table, a key for the window at each word. ``symbols`` must end with a window of zeros."""
-    n = len(symbols) - WINDOW
-    pos = np.arange(n)
+def signatures(symbols: np.ndarray, pos: np.ndarray | None = None, seed: int = 11) -> Iterator[np.ndarray]:
+    """For each table, a key for the window at each word (of ``pos``). ``symbols`` must end with a window of zeros."""
+    pos = np.arange(len(symbols) - WINDOW) if pos is None else pos
+    n = len(pos)
     for r, tables in enumerate(_places(seed)):
         bits = _mix(symbols, 1000 + r)
         last = max(p[-1] for p in tables)
@@ -142,6 +147,7 @@ class Items:
         owner, start = np.array(owner, dtype=np.int64), np.array(start, dtype=np.int64)
         lengths = np.array([len(s) for s in self.symbols], dtype=np.int64)
         whole = start + WINDOW <= np.maximum(lengths[owner], WINDOW) if len(owner) else np.zeros(0, bool)
+        self.words = np.unique(flat[:, 0])
         self.tables = []
         for key in signatures(flat[:, 0]):
             keep = np.flatnonzero(whole)
@@ -152,7 +158,13 @@ class Items:
 def candidates(symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, word of the document where the item would begin, word met) of all windows that meet."""
     got: list[tuple] = []
-    for (keys, owner, start), key in zip(items.tables, signatures(symbols)):
+    known = items.words[np.minimum(np.searchsorted(items.words, symbols), len(items.words) - 1)] == symbols
+    known &= symbols != 0
+    total = np.concatenate([[0], np.cumsum(known)])
+    pos = np.flatnonzero(total[WINDOW:-1] - total[: -WINDOW - 1] >= KNOWN)
+    if not len(pos):
+        return (np.zeros(0, np.int64),) * 3
+    for (keys, owner, start), key in zip(items.tables, signatures(symbols, pos)):
         if not len(keys):
             continue
         a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -160,19 +172,29 @@ def candidates(symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarra
         if len(hit):
             n = (b - a)[hit]
             idx = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            w = np.repeat(hit, n)
+            w = np.repeat(pos[hit], n)
             got.append((owner[idx], w - start[idx], w))
     if not got:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*got))
 
 
-def local_scores(doc: np.ndarray, lows: np.ndarray, width: int, item: np.ndarray, first: np.ndarray, end: np.ndarray, gap: float = 0.3, miss: float = 0.4) -> np.ndarray:
+def local_scores(doc: np.ndarray, lows: np.ndarray, width: int, item: np.ndarray, first: np.ndarray, end: np.ndarray, need: float = 0.0, gap: float = 0.3, miss: float = 0.4) -> np.ndarray:
     """Best local alignment of ``item`` with each stretch doc[low : low + width] within [first, end): a word found counts 1, one with a letter
-    error 0.8, a lost or added word -gap, an altered one -miss."""
+    error 0.8, a lost or added word -gap, an altered one -miss. Stretches whose words can't reach ``need`` score 0."""
     cols = np.minimum(lows[:, None] + np.arange(width)[None, :], len(doc) - 1)
     d = doc[cols]
     d[(cols < first[:, None]) | (cols >= end[:, None])] = 0
+    if need > 0:
+        like = np.zeros(d.shape[:2], dtype=bool)
+        for k in range(4):
+            like |= np.isin(d[:, :, k], item[:, k][item[:, k] != 0])
+        able = like.sum(1) >= need
+        if not able.all():
+            best = np.zeros(len(lows))
+            if able.any():
+                best[able] = local_scores(doc, lows[able], width, item, first[able], end[able], 0.0, gap, miss)
+            return best
     ramp = gap * np.arange(width)
     h = np.zeros((len(lows), width + 1))
     best = np.zeros(len(lows))
@@ -212,9 +234,11 @@ def _scan(ids: list, texts: list[str], prefixes: set[str], share: float, doc_id:
         index, h = Items(ids, texts, prefixes), _Hasher()
         pad = np.zeros((WINDOW, 4), dtype=np.uint64)
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                own, keys = [], pdf[doc_id].iloc[lo : lo + 500].tolist()
-                for t in pdf[text].iloc[lo : lo + 500]:
+            sizes = pdf[text].str.len().fillna(0).cumsum().to_numpy()
+            piece = (sizes // PIECE_CHARS).astype(int) if len(pdf) else np.zeros(0, int)
+            for lo, hi in zip(np.flatnonzero(np.r_[True, np.diff(piece) > 0]) if len(pdf) else [], [*np.flatnonzero(np.diff(piece) > 0) + 1, len(pdf)]):
+                own, keys = [], pdf[doc_id].iloc[lo:hi].tolist()
+                for t in pdf[text].iloc[lo:hi]:
                     own += [h(words(t)), pad]
                 if not own:
                     continue
@@ -232,7 +256,7 @@ def _scan(ids: list, texts: list[str], prefixes: set[str], share: float, doc_id:
                     pairs = np.unique(np.stack([doc[mine], lows], 1), axis=0)
                     for a in range(0, len(pairs), 512):
                         p = pairs[a : a + 512]
-                        for (k, _), v in zip(p, local_scores(flat, p[:, 1], width, s, firsts[p[:, 0]], ends[p[:, 0]]) / max(len(s), 1)):
+                        for (k, _), v in zip(p, local_scores(flat, p[:, 1], width, s, firsts[p[:, 0]], ends[p[:, 0]], share * len(s)) / max(len(s), 1)):
                             if v >= share:
                                 found[k, i] = max(found.get((k, i), 0.0), v)
                 yield pd.DataFrame([(keys[k], ids[i], round(float(v), 4)) for (k, i), v in found.items()], columns=[doc_id, item_id, "score"])
