@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import materialize
+from quillspark.session import broadcast_if_small, materialize
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -26,14 +26,35 @@ def distinctiveness(posts: DataFrame, prior: float = 500.0) -> DataFrame:
     terms = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("__w"))
     docs = posts.groupBy("doc_id").agg(F.sum("tf").alias("__n"))
     total = docs.agg(F.count("*").alias("n_docs"), F.sum("__n").alias("__all"))
-    t = posts.join(terms, "term").join(docs, "doc_id").crossJoin(F.broadcast(total))  # one row
+    return _scored(posts.join(terms, "term").join(docs, "doc_id").crossJoin(F.broadcast(total)), prior)  # one row
+
+
+def _scored(t: DataFrame, prior: float) -> DataFrame:
     a = F.col("__w") / F.col("__all") * F.lit(prior)
     inside, rest = F.col("tf") + a, F.col("__w") - F.col("tf") + a
-    odds = F.log(inside / (F.col("__n") + prior - inside)) - F.log(rest / (F.col("__all") - F.col("__n") + prior - rest))
+    odds: Column = F.log(inside / (F.col("__n") + prior - inside)) - F.log(rest / (F.col("__all") - F.col("__n") + prior - rest))
     idf = F.log(F.col("n_docs") / F.col("df"))
     return t.select("doc_id", "term", F.col("tf").cast("int").alias("tf"), "df", "n_docs", idf.alias("idf"), (F.col("tf") * idf).alias("weight"), (odds / F.sqrt(1 / inside + 1 / rest)).alias("z"))
 
 
+def index_distinctiveness(index: DataFrame, prior: float = 500.0) -> DataFrame:
+    """``distinctiveness(postings(index))``, but postings stay in their maps until they are scored: copied rows are
+    dropped as whole maps, a term's sums come from its maps, a page's sums are aggregated before they are shuffled, and
+    the sums join the postings by broadcast as long as a count shows them to be few. Where some page stands in several
+    segments its postings are compared one by one instead."""
+    kept = index.where(F.col("term").isNotNull() & F.col("postings").isNotNull()).select("segment", "term", F.map_filter("postings", lambda _, n: n > 0).alias("postings"))
+    one = materialize(kept.groupBy("segment", "term").agg(F.max_by("postings", F.size("postings")).alias("postings")))
+    flat = one.select("segment", "term", F.explode("postings").alias("doc_id", "tf"))
+    docs = materialize(flat.groupBy("doc_id").agg(F.sum("tf").cast("double").alias("__n"), F.min("segment").alias("__a"), F.max("segment").alias("__b")))
+    if docs.where("NOT __a <=> __b").limit(1).count():
+        return distinctiveness(postings(index), prior)
+    sums = F.aggregate(F.map_values("postings"), F.lit(0).cast("long"), lambda a, n: a + n)
+    terms = one.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.sum(sums).cast("double").alias("__w"))
+    total = docs.agg(F.count("*").alias("n_docs"), F.sum("__n").alias("__all"))
+    counted = one.join(broadcast_if_small(terms), "term").select("term", "df", "__w", F.explode("postings").alias("doc_id", "tf")).withColumn("tf", F.col("tf").cast("double"))
+    return _scored(counted.join(broadcast_if_small(docs.select("doc_id", "__n")), "doc_id").crossJoin(F.broadcast(total)), prior)  # one row
+
+
 def top_term(scored: DataFrame, by: str = "weight") -> DataFrame:
     """(doc_id, term) with the largest ``by`` of each page; the first term in code-point order if equal."""
     return scored.groupBy("doc_id").agg(F.min_by("term", F.struct(-F.col(by), "term")).alias("term"))

@@ -69,11 +69,11 @@ def p3_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.top_term(distinctive.distinctiveness(distinctive.postings(table(spark, d, "index_terms")))).select("doc_id", "term")
+    return distinctive.top_term(distinctive.index_distinctiveness(table(spark, d, "index_terms"))).select("doc_id", "term")
 
 
 def p7_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = distinctive.distinctiveness(distinctive.postings(table(spark, d, "index_terms")))
+    s = distinctive.index_distinctiveness(table(spark, d, "index_terms"))
     return s.select("doc_id", "term", "tf", "df", "n_docs", F.round("weight", 4).alias("weight"), F.round("z", 4).alias("z"))
 
 

@@ -233,6 +233,11 @@ def test_distinctive(spark):
     s = distinctive.distinctiveness(distinctive.postings(df))
     got = {(r["doc_id"], r["term"]): (r["tf"], r["df"], r["n_docs"]) for r in s.collect()}
     assert got == {("a", "x"): (2, 3, 4), ("b", "x"): (1, 3, 4), ("a", "y"): (1, 1, 4), ("c", "x"): (5, 3, 4), ("c", "z"): (1, 2, 4), ("d", "z"): (1, 2, 4)}
+    same = distinctive.index_distinctiveness(df)  # pages in several segments
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, s.collect()))
+    apart = df.where("segment = 0 OR term = 'z' AND 1 = 0 OR segment IS NULL").unionByName(spark.createDataFrame([(None, "x", {"e": 4}, 1)], df.schema))
+    one, two = distinctive.index_distinctiveness(apart), distinctive.distinctiveness(distinctive.postings(apart))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == 4
     assert {r["doc_id"]: r["term"] for r in distinctive.top_term(s).collect()} == {"a": "y", "b": "x", "c": "x", "d": "z"}
     z = {(r["doc_id"], r["term"]): r["z"] for r in s.collect()}
     a = lambda w: 500.0 * w / 11
@@ -241,7 +246,7 @@ def test_distinctive(spark):
     assert abs(z["a", "y"] - want) < 1e-9
     ties = spark.createDataFrame([("d", t, 1) for t in ("é", "b", "ab", "a")], "doc_id string, term string, weight int")
     assert distinctive.top_term(ties).first()["term"] == "a"
-    assert distinctive.distinctiveness(distinctive.postings(df.limit(0))).count() == 0
+    assert distinctive.distinctiveness(distinctive.postings(df.limit(0))).count() == 0 and distinctive.index_distinctiveness(df.limit(0)).count() == 0
 
 
 # p8
