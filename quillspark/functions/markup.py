@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns in this module say what pages and wiki texts look like, so they are what results depend on.
+
 #: Attribute -> marker of the element that shows it.
 ATTRIBUTES = {"name": "display-name", "noc": "nocs", "sport": "disciplines", "participations": "games-participations", "first_games": "first-olympic-game", "yob": "year-of-birth"}
 JUNK_TAGS = ("script", "style", "noscript", "template", "svg", "picture", "source")

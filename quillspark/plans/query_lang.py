@@ -58,6 +58,7 @@ class FilterQuery:
     text: str | None
 
 
+#: How clauses are written.
 _CLAUSES = (
     (re.compile(r"\b(gold|silver|bronze)\s*(>=|<=|>|<|==?)\s*(\d+)\b", re.I), None),
     (re.compile(r"\b(yob|year|born)\s*(>=|<=|>|<|==?)?\s*(\d{1,4})\b", re.I), "yob"),
