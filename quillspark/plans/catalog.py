@@ -10,7 +10,7 @@ from quillspark.functions import text as tx
 from quillspark.functions import urls as ur
 from quillspark.operators import entity, frontier, index, quality, search, units
 from quillspark.plans.query_lang import to_range
-from quillspark.session import table
+from quillspark.session import spread, table
 from quillspark.sources import readers
 
 QUERY = "injury night train protest final protest"
@@ -26,7 +26,7 @@ FIELD_QUERIES = {
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _index(spark, d, method="", keep=True) -> index.Index:
