@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import abuse, boilerplate, confusables, distinctive, leakage, linkage, markup, packing, survivor
-from quillspark.session import table
+from quillspark.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return leakage.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
