@@ -74,9 +74,23 @@ def split_name(tokens: list[str]) -> tuple[str, str, str]:
     return (tokens[0] if len(tokens) > 1 else "", " ".join(tokens[1:-1]), tokens[-1]) if tokens else ("", "", "")
 
 
+def halves(raw: str) -> list[str]:
+    """Folded names with one part of a hyphenated surname (the last word) each, as before or after a marriage."""
+    *given, last = raw.translate(abuse._table()).split() or [""]
+    parts = re.split(r"[-‐‑‒–]", last)
+    whole = len(parts) > 1 and all(x[:1].isalpha() and not x[0].islower() for x in parts)
+    return [fold(" ".join([*given, x])) for x in parts if len(fold(x)) > 2] if given and whole else []
+
+
 def page_names(name: str | None, bio: str) -> list[str]:
     """Folded names a page goes by, in the order first to last: its title, a second name in brackets, the opening of its prose."""
+    return all_names(name, bio)[0]
+
+
+def all_names(name: str | None, bio: str) -> tuple[list[str], list[str]]:
+    """``page_names``, and beside them the names with a part of a hyphenated surname."""
     out: list[str] = []
+    half: list[str] = []
 
     def add(raw: str) -> None:
         raw = re.sub(r"[\"“”„«»]\S+[\"“”„«»]", " ", raw)
@@ -89,6 +103,7 @@ def page_names(name: str | None, bio: str) -> list[str]:
         f = fold(" ".join(words))
         if f and f not in out:
             out.append(f)
+        half.extend(x for x in halves(" ".join(words)) if x not in half)
 
     title = name or ""
     for inner in re.findall(r"\(([^()]*)\)", title):
@@ -98,7 +113,7 @@ def page_names(name: str | None, bio: str) -> list[str]:
     m = _LEAD.match(bio)
     if m:
         add(m[1])
-    return out
+    return out, [x for x in half if x not in out]
 
 
 def _keys(names: list[str], year: int | None, titled: bool) -> set[str]:
@@ -117,26 +132,26 @@ def _keys(names: list[str], year: int | None, titled: bool) -> set[str]:
 
 
 def athlete_side(df: DataFrame) -> DataFrame:
-    """One row an athlete: (ath_id, name, yob, sport, country, games, keys). Copies count once; NULL ids are left out."""
+    """One row an athlete: (ath_id, name, halved, yob, sport, country, games, keys). Copies count once; NULL ids are left out."""
     one = df.where("ath_id IS NOT NULL").select("ath_id", "name", "country", "sport", "yob", "first_games").dropDuplicates(["ath_id"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
             for r in p.itertuples(index=False):
-                names = page_names(r.name, "")
+                names, halved = all_names(r.name, "")
                 y = re.search(r"\b(1[89]\d\d|20[0-3]\d)\b", r.yob or "")
                 g = re.search(r"\b(1[89]\d\d|20[0-3]\d)\b", r.first_games or "")
                 year = int(y[0]) if y else None
-                rows.append((r.ath_id, names[-1] if names else "", year, fold(r.sport), fold(r.country), int(g[0]) if g else None, sorted(_keys(names, year, True))))
-            out = pd.DataFrame(rows, columns=["ath_id", "name", "yob", "sport", "country", "games", "keys"])
+                rows.append((r.ath_id, names[-1] if names else "", halved, year, fold(r.sport), fold(r.country), int(g[0]) if g else None, sorted(_keys(names + halved, year, True))))
+            out = pd.DataFrame(rows, columns=["ath_id", "name", "halved", "yob", "sport", "country", "games", "keys"])
             yield out.astype({"yob": "Int32", "games": "Int32"})
 
-    return one.mapInPandas(read, "ath_id long, name string, yob int, sport string, country string, games int, keys array<string>")
+    return one.mapInPandas(read, "ath_id long, name string, halved array<string>, yob int, sport string, country string, games int, keys array<string>")
 
 
 def page_side(df: DataFrame) -> DataFrame:
-    """One row a page: (wiki_id, names, year, sports, nations, place, keys); facts come from the prose without its markup."""
+    """One row a page: (wiki_id, names, halves, year, sports, nations, place, keys); facts come from the prose without its markup."""
     one = df.where("wiki_id IS NOT NULL").select("wiki_id", "name", "wiki_sport", "wiki_birth_place", "wiki_bio").dropDuplicates(["wiki_id"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +160,7 @@ def page_side(df: DataFrame) -> DataFrame:
             for r in p.itertuples(index=False):
                 lines = (markup.strip(r.wiki_bio) or "").replace("`", "").split("\n")
                 bio = " ".join(" ".join(x for x in lines if not x.lstrip().startswith(("#", "- "))).split())
-                names = page_names(r.name, bio)
+                names, half = all_names(r.name, bio)
                 b = _BORN.search(bio)
                 year = next((int(x) for x in b.groups() if x), None) if b else None
                 is_a, rep = _IS_A.search(bio), _REPRESENTED.search(bio)
@@ -158,11 +173,11 @@ def page_side(df: DataFrame) -> DataFrame:
                     sports.append("r:" + fold(rep[2]))
                 sports += ["s:" + fold(x) for x in re.split(r"[,;/]\s*(?![^()]*\))", markup.strip(r.wiki_sport) or "") if fold(x)]
                 place = (markup.strip(r.wiki_birth_place) or "").replace("`", "").split(",")
-                rows.append((r.wiki_id, names, year, sports, nations, "p:" + fold(place[-1]) if len(place) > 1 else None, sorted(_keys(names, year, False))))
-            out = pd.DataFrame(rows, columns=["wiki_id", "names", "year", "sports", "nations", "place", "keys"])
+                rows.append((r.wiki_id, names, half, year, sports, nations, "p:" + fold(place[-1]) if len(place) > 1 else None, sorted(_keys(names + half, year, False))))
+            out = pd.DataFrame(rows, columns=["wiki_id", "names", "halves", "year", "sports", "nations", "place", "keys"])
             yield out.astype({"year": "Int32"})
 
-    return one.mapInPandas(read, "wiki_id long, names array<string>, year int, sports array<string>, nations array<string>, place string, keys array<string>")
+    return one.mapInPandas(read, "wiki_id long, names array<string>, halves array<string>, year int, sports array<string>, nations array<string>, place string, keys array<string>")
 
 
 def pair_up(athletes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -194,11 +209,12 @@ def _heard(phrases, value: str | None, known: dict) -> int:
     return 0 if not heard else 1 if any(value in h for h in heard) else -1
 
 
-def name_votes(a: str, names: list[str]) -> tuple[int, int, int]:
-    """(last, first, middle) of the page's name that fits best; a missing part doesn't vote, an initial fits."""
-    first, middle, last = split_name(a.split())
+def name_votes(a: str, names: list[str], halved: list[str] = (), half: list[str] = ()) -> tuple[int, int, int]:
+    """(last, first, middle) of the names that fit best; a missing part doesn't vote, an initial fits. ``halved`` and ``half``
+    are the names with a part of the athlete's or the page's surname; they are held against whole names only."""
     best = (-1, -1, -1)
-    for n in names:
+    for a, n in [*((a, n) for n in [*names, *half]), *((x, n) for x in halved for n in names)]:
+        first, middle, last = split_name(a.split())
         t = n.split()
         for order in (t, t[1:] + t[:1]) if len(t) > 1 else (t,):
             f, m, s = split_name(order)
@@ -226,7 +242,7 @@ def vote(pairs: DataFrame, athletes: DataFrame, pages: DataFrame, sports: dict,
                 year, yob = (None if pd.isna(x) else int(x) for x in (r.year, r.yob))
                 games = None if pd.isna(r.games) else int(r.games)
                 career = 0 if year is None or games is None else 1 if 12 <= games - year <= 45 else -1
-                out.append((r.ath_id, r.wiki_id, [*name_votes(r.name, list(r.names)), 0 if year is None or yob is None else 1 if year == yob else -1, _heard(r.sports, r.sport, sports), _heard(r.nations, r.country, nations), _heard([r.place], r.country, places), career]))
+                out.append((r.ath_id, r.wiki_id, [*name_votes(r.name, list(r.names), list(r.halved), list(r.halves)), 0 if year is None or yob is None else 1 if year == yob else -1, _heard(r.sports, r.sport, sports), _heard(r.nations, r.country, nations), _heard([r.place], r.country, places), career]))
             yield pd.DataFrame(out, columns=["ath_id", "wiki_id", "votes"])
 
     return rows.mapInPandas(read, "ath_id long, wiki_id long, votes array<int>")

@@ -71,6 +71,23 @@ def test_linkage(spark):
     assert linkage.link(a.limit(0), w).count() == 0 and linkage.link(a, w.limit(0)).count() == 0
 
 
+def test_double_surnames(spark):
+    assert linkage.halves("Nadia Klotsac-Frianenko") == ["nadia klotsac", "nadia frianenko"]
+    assert linkage.halves("Kim Min-jung") == linkage.halves("Jean-Pierre Martin") == linkage.halves("Klotsac-Frianenko") == linkage.halves("") == []
+    assert linkage.halves("Omar El-Sabir") == ["omar sabir"]
+    whole = ["nadia klotsacfrianenko"]
+    assert linkage.name_votes("nadia klotsac", whole)[0] == -1 and linkage.name_votes("nadia klotsac", whole, [], linkage.halves("Nadia Klotsac-Frianenko")) == (1, 1, 0)
+    assert linkage.name_votes("nadia klotsacpetrova", whole, linkage.halves("Nadia Klotsac-Petrova"), linkage.halves("Nadia Klotsac-Frianenko"))[0] == -1
+    a, w, true = people(spark)
+    more = [(5000, "Nadia Klotsac", "Norway", "Rowing", "1963", None), (5001, "Petra Zubrin-Halvik", "Chile", "Judo", "1971", None), (5002, "Lena Morvat", "Spain", "Archery", "1980", None)]
+    pages = [(6000, "Nadia Klotsac-Frianenko", "Rowing", "Town, Norway", "Nadia Klotsac-Frianenko (born 3 May 1963) is a Norwegian rower."), (6001, "Petra Halvik", "Judo", "Town, Chile", "Petra Halvik (born 1971) is a Chilean judoka."), (6002, "Morvat-Tesk, Lena", "Archery", "Town, Spain", None), (6003, "Lena Ostvik-Tesk", "Archery", "Town, Spain", None)]
+    a = a.drop("wiki_id").unionAll(spark.createDataFrame(more, a.drop("wiki_id").schema))
+    w = w.drop("confidence").unionAll(spark.createDataFrame(pages, w.drop("confidence").schema))
+    got = {(r["ath_id"], r["wiki_id"]) for r in linkage.link(a, w).collect()}
+    assert {x for x in got if x[0] >= 5000 or x[1] >= 6000} == {(5000, 6000), (5001, 6001), (5002, 6002)}
+    assert len({x for x in got if x[0] < 5000} & true) >= 0.95 * len(true)
+
+
 # p2
 
 MARKED = ["**Club**", "''x''", "{{nowrap|Club}}", "[[A (b)|A]]", "a&nbsp;b", "AC <!-- sic -->", "x<br />", "Club]]", "[[Club", r"\textsc{A}", "$$s = x$$", "`code`", "[A](https://a.example/x)", "== H ==", "# Head", "* item one", "<small>x</small>", "| a | b |\n|---|---|\n| 1 | 2 |", r"y~\cite{k}", "<ref>q</ref>x", "__NOTOC__a", "{\\it x}", "&amp;nbsp;"]
