@@ -8,6 +8,7 @@ structure and always stay. A value carries markup if its tree doesn't align with
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from html.entities import html5
@@ -385,6 +386,11 @@ def strip(value: str | None) -> str | None:
     return None if value is None else tidy(render(parse(value)))
 
 
+def _short(s: str, n: int) -> str:
+    """The text, or its first ``n`` characters and a hash of the whole: equal only for equal texts."""
+    return s if len(s) <= n else s[:n] + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def carries_markup(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: whether the tree of ``text`` has nodes that simple tree matching can't align with plain text.
     False for NULL and empty texts; whole texts are parsed; other columns stay."""
@@ -405,7 +411,7 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
 
     The wrapper of a host is induced from all its rows: the most frequent tree is the reference, each tree is aligned
     with it, and a slot whose most frequent text makes up ``share`` of at least ``least`` occurrences is template; that
-    text in that slot is dropped, unless it is structure or running text of the value. Counts are aggregated before
+    text in that slot, compared as a whole, is dropped, unless it is structure or running text of the value. Counts are aggregated before
     they are shuffled, and only slots below markup nodes are counted, so a host with any share of the rows is no hot
     group. NULL texts stay NULL, NULL hosts are one host, empty tables give no rows; an existing ``out`` is replaced."""
     base = df.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
@@ -420,7 +426,7 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
     @F.pandas_udf("array<struct<slot:string,text:string>>")
     def slots(texts: pd.Series, refs: pd.Series) -> pd.Series:
         known: dict = {}
-        return pd.Series([[(p, n.words()[:200]) for n, p in _template_nodes(s, r, known)] if s else [] for s, r in zip(texts, refs)])
+        return pd.Series([[(p, _short(n.words(), 200)) for n, p in _template_nodes(s, r, known)] if s else [] for s, r in zip(texts, refs)])
 
     joined = base.join(refs, "__host", "left")
     each = joined.select("__host", F.explode(slots(F.col(text), F.col("__ref"))).alias("s")).groupBy("__host", "s.slot", "s.text").count()
@@ -436,7 +442,7 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
                 return None
             w = dict(w) if w is not None else {}
             tree = parse(s)
-            gone = frozenset(id(n) for n, p in _template_nodes(tree, r, known) if p in w and w[p] == n.words()[:200])
+            gone = frozenset(id(n) for n, p in _template_nodes(tree, r, known) if p in w and w[p] == _short(n.words(), 200))
             return tidy(render(tree, gone))
 
         return pd.Series([one(*x) for x in zip(texts, refs, wrappers)])

@@ -136,6 +136,16 @@ def test_wrapper(spark):
     assert [r["m"] for r in markup.carries_markup(df.where("site = 'g' OR html IS NULL"), "html", "m").collect()] == [False, False]
 
 
+def test_wrapper_compares_whole_texts(spark):
+    menu = "".join(f"<a>Menu entry {i} of this site</a>" for i in range(20))  # over 200 characters ahead of the article
+    rows = [(i, f"<html><body><div>{menu}<p>Story {i} tells more</p></div></body></html>") for i in range(12)]
+    same = [(100 + i, f"<html><body><div>{menu}</div><p>Note {i}</p></body></html>") for i in range(12)]
+    for part in (rows, same):
+        df = spark.createDataFrame(part, "id int, html string").withColumn("site", F.lit("h"))
+        got = {r["id"]: r["clean"] for r in markup.clean(df, "site", "html", "clean").collect()}
+        assert all((f"Story {i}" if i < 100 else f"Note {i - 100}") in x and "Menu" not in x for i, x in got.items()) and len(got) == 12
+
+
 def test_prose():
     ok = "She rowed for ten years and won twice."
     assert markup.complete_prose(ok) and markup.complete_prose(ok + "\n[[Category:x]]") and markup.complete_prose("'''" + ok + "'''</p>")
