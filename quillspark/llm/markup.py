@@ -409,7 +409,7 @@ def carries_markup(df: DataFrame, text: str, out: str) -> DataFrame:
 def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, least: int = 5) -> DataFrame:
     """Add ``out``: ``text`` without markup and without the template of its host.
 
-    The wrapper of a host is induced from all its rows: the most frequent tree is the reference, each tree is aligned
+    The wrapper of a host is induced from all its rows: the most frequent tree is the reference, of any length, each tree is aligned
     with it, and a slot whose most frequent text makes up ``share`` of at least ``least`` occurrences is template; that
     text in that slot, compared as a whole, is dropped, unless it is structure or running text of the value. Counts are aggregated before
     they are shuffled, and only slots below markup nodes are counted, so a host with any share of the rows is no hot
@@ -418,10 +418,10 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
 
     @F.pandas_udf("string")
     def shape(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: parse(s).shape()[:2000] if s else None)
+        return texts.map(lambda s: _short(parse(s).shape(), 2000) if s else None)
 
-    shapes = base.select("__host", F.col(text).alias("t")).withColumn("shape", shape("t")).where("shape IS NOT NULL").groupBy("__host", "shape").agg(F.count("*").alias("n"), F.min(F.when(F.length("t") <= 20000, F.col("t"))).alias("t"))
-    refs = shapes.where("t IS NOT NULL").withColumn("marked", F.col("shape").contains(",")).groupBy("__host").agg(F.max_by("t", F.struct("marked", "n", "shape")).alias("__ref"))
+    shapes = base.select("__host", F.col(text).alias("t")).withColumn("shape", shape("t")).where("shape IS NOT NULL").groupBy("__host", "shape").agg(F.count("*").alias("n"), F.min("t").alias("t"))
+    refs = shapes.withColumn("marked", F.col("shape").contains(",")).groupBy("__host").agg(F.max_by("t", F.struct("marked", "n", "shape")).alias("__ref"))
 
     @F.pandas_udf("array<struct<slot:string,text:string>>")
     def slots(texts: pd.Series, refs: pd.Series) -> pd.Series:

@@ -146,6 +146,21 @@ def test_wrapper_compares_whole_texts(spark):
         assert all((f"Story {i}" if i < 100 else f"Note {i - 100}") in x and "Menu" not in x for i, x in got.items()) and len(got) == 12
 
 
+def test_reference_of_any_length(spark):
+    story = "She rowed for ten years and won twice. " * 600
+    long = [("long", f"<div>Menu</div><div>Story {i} {story}</div><div>By {i}</div>") for i in range(6)]  # the nodes share a tag path, so only the alignment tells them apart
+    head = "<p>x</p>" * 400  # the shapes differ after 2,000 characters only
+    deep = [("deep", head + (f"<div>Menu</div><div>Note {i}</div><div>By {i}</div>" if i < 6 else f"<b>{i}</b><i>y</i>")) for i in range(10)]
+    assert all(len(t) > 20_000 for _, t in long) and all(len(t) > 2000 for _, t in deep)
+    df = spark.createDataFrame(long + deep, "site string, html string")
+    got = markup.clean(df, "site", "html", "clean").collect()
+    stories = [r["clean"] for r in got if r["site"] == "long"]
+    assert len(got) == 16 and all("Menu" not in x and "Story" in x and x.count("twice.") == 600 for x in stories)
+    assert all("Menu" not in r["clean"] and "Note" in r["clean"] for r in got if "Note" in r["html"])
+    a, b = (markup.parse(head + x).shape() for x in ("<b>1</b>", "<i>1</i>"))
+    assert a[:2000] == b[:2000] and markup._short(a, 2000) != markup._short(b, 2000) and markup._short(a[:2000], 2000) == a[:2000]
+
+
 def test_prose():
     ok = "She rowed for ten years and won twice."
     assert markup.complete_prose(ok) and markup.complete_prose(ok + "\n[[Category:x]]") and markup.complete_prose("'''" + ok + "'''</p>")
