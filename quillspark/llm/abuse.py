@@ -317,15 +317,16 @@ def fit(documents: list[tuple[list[str], float]], terms: list[str], clean_weight
     return Model(v[:CHAR_DIMS], v[CHAR_DIMS:], b)
 
 
-def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED, clean: int = CLEAN) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED, clean: int = CLEAN, least_weight: float = 2) -> Model | None:
     """Fit on at most ``limit`` toxic and ``clean`` clean labelled documents, the first by hash of their id. Copied ratings count once, a document's
-    label is the majority of its raters, ties and NULL ratings don't count."""
+    label is the majority of its raters, ties and NULL ratings don't count. ``terms`` only mark which sentences start as positive; those
+    with a weight below ``least_weight`` or NULL aren't used."""
     votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic", "rater", "rated_at").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     few = votes.where("y > 0.5").orderBy(*order).limit(limit).unionAll(votes.where("y < 0.5").orderBy(*order).limit(clean))
     rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL").dropDuplicates(["doc_id"])  # at most ``limit`` + ``clean`` rows
     data = [(sentences(r["text"]), float(r["y"])) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
-    words = [r["term"] for r in terms.where("term IS NOT NULL AND weight >= 2").select("term").distinct().collect()] if terms is not None else []
+    words = [r["term"] for r in terms.where(F.col("term").isNotNull() & (F.col("weight") >= least_weight)).select("term").distinct().collect()] if terms is not None else []
     all_clean = votes.where("y < 0.5").count()
     return fit(data, sorted(words), max(1.0, all_clean / max(sum(v < 0.5 for _, v in data), 1)))
 

@@ -466,3 +466,12 @@ def test_abuse_held_out(spark):
     assert rates["a"]["documents"] + rates[None]["documents"] == 303
     assert abuse.train(docs.limit(0), lab, terms) is None
     assert abuse.score_documents(held, None).where("score IS NOT NULL").count() == 0
+
+
+def test_least_weight_of_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c."), (2, "d e f.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1, 1), (2, 0, 1, 1)], "doc_id long, toxic int, rater int, rated_at int")
+    terms = spark.createDataFrame([("low", 1), ("mid", 2), ("high", 3), ("none", None), (None, 3)], "term string, weight int")
+    monkeypatch.setattr(abuse, "fit", lambda data, words, weight: words)
+    assert abuse.train(docs, labels, terms) == ["high", "mid"]
+    assert abuse.train(docs, labels, terms, least_weight=1) == ["high", "low", "mid"] and abuse.train(docs, labels, terms, least_weight=3) == ["high"]
