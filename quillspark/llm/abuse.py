@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,17 +44,10 @@ _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])['\"”’»)]*\s+|\n+")
 
 
-@lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    """Single code points to their plain form, from the look-alike classes."""
-    rep = confusables.representatives({})
-    return {ord(m): r for m, r in rep.items() if len(m) == 1}
-
-
 def fold(text: str) -> str:
     """Look-alikes, widths, invisible characters, accents, case, digits for letters, spaced-out and stretched words."""
     if _PLAIN.search(text) or "­" in text:
-        text = text.translate(_table())
+        text = text.translate(confusables.plain_table())
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     text = text.lower()

@@ -12,19 +12,21 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of other scripts beside the Latin letters they look like.
+#: Letters of the Cyrillic, Greek, Armenian and Cherokee blocks whose printed form is that of a Latin letter, read off
+#: the code charts. Their accented forms, and the classes of all other code points, follow by rule (``classes``).
 LOOK_ALIKES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "E": "ЕΕᎬ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ",
     "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
     "a": "аα", "c": "с", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ",
-    "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγү", "ï": "ї", "ë": "ё", "Ï": "Ї", "Ë": "Ё", "ó": "ό", "í": "ί", "á": "ά", "é": "έ", "ú": "ύ",
+    "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγү",
 }
-#: Hyphens, and characters without a width of their own.
+#: Hyphens.
 HYPHENS = "‐‑‒–—−﹣－⁃֊᠆"
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿ㅤﾠ"
+_INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\u17B4\u17B5\uFFA0]")
 
 
 class UnionFind:
@@ -59,51 +61,67 @@ def letter_script(c: str) -> str:
 
 @lru_cache(maxsize=2)
 def classes(look_alikes: bool = True) -> tuple[tuple[str, ...], ...]:
-    """All look-alike classes; '' is the member that stands for nothing at all."""
+    """All look-alike classes; '' is the member that stands for nothing at all. Hangul syllables are left to the
+    composition at the end of the rewriting, which has a rule for all of them."""
     u = UnionFind()
-    for cp in range(0x80, min(sys.maxunicode, 0x1FFFF) + 1):
+    latin_of = {c: latin for latin, others in LOOK_ALIKES.items() for c in others} if look_alikes else {}
+    for cp in range(0x80, sys.maxunicode + 1):
         c = chr(cp)
         kind = unicodedata.category(c)
-        if kind in ("Cs", "Co", "Cn") or 0xAC00 <= cp <= 0xD7A3 or 0xF900 <= cp <= 0xFAFF:
+        if kind in ("Cs", "Co", "Cn") or 0xAC00 <= cp <= 0xD7A3:
             continue
         if kind == "Zs":
             u.join(c, " ")
             continue
+        if _INVISIBLE.fullmatch(c):
+            u.join(c, "")
+            continue
         flat = unicodedata.normalize("NFKC", c)
         if flat != c and flat and " " not in flat and c not in HYPHENS:
             u.join(c, flat)
         loose = unicodedata.normalize("NFD", c)
         if loose != c and unicodedata.normalize("NFC", loose) == c:
             u.join(loose, c)
+            if loose[0] in latin_of and len(same := unicodedata.normalize("NFC", latin_of[loose[0]] + loose[1:])) == 1:
+                u.join(c, same)
     for c in HYPHENS:
         u.join(c, "-")
-    for c in INVISIBLE:
-        u.join(c, "")
-    if look_alikes:
-        for latin, others in LOOK_ALIKES.items():
-            for c in others:
-                u.join(c, latin)
+    for c, latin in latin_of.items():
+        u.join(c, latin)
     return tuple(tuple(x) for x in u.classes())
 
 
+def _settled(member: str) -> bool:
+    """Whether a member is in composed form and no compatibility form."""
+    return unicodedata.normalize("NFKC", member) == member
+
+
 def representatives(counts: dict[str, int], look_alikes: bool = True) -> dict[str, str]:
     """Member -> representative: the most frequent member; plain ASCII, then the shorter and smaller member if equal.
-    Invisible members always stand for nothing, and spaces and hyphens for their ASCII form unless it never occurs."""
+
+    Invisible members stand for nothing. Compatibility forms and loose accents never represent a class, however often they
+    occur, and a class with a Latin letter is represented by a Latin one, since it is used in Latin words only; so every
+    class of several strings has one that can represent it, and ``counts`` decides between code points."""
     out = {}
     for group in classes(look_alikes):
-        best = "" if "" in group else min(group, key=lambda m: (-counts.get(m, 0), not m.isascii(), len(m), m))
+        able = [m for m in group if _settled(m)] or list(group)
+        able = [m for m in able if len(m) == 1 and letter_script(m) == "LATIN"] or able
+        best = "" if "" in group else min(able, key=lambda m: (-counts.get(m, 0), not m.isascii(), len(m), m))
         out.update({m: best for m in group if m != best})
     return out
 
 
+@lru_cache(maxsize=1)
+def plain_table() -> dict[int, str]:
+    """Single code points to their plain form, whatever stands beside them."""
+    return {ord(m): r for m, r in representatives({}).items() if len(m) == 1}
+
+
 def count_members(texts: DataFrame, column: str) -> dict[str, int]:
     """How often each code point occurs in a text column, over all rows. At most one entry a code point comes to the
-    driver (Unicode bounds it), and members of several code points count by their pairs."""
+    driver (Unicode bounds it)."""
     chars = texts.select(F.explode(F.split(F.col(column), "")).alias("c")).where("c != ''").groupBy("c").count()
-    counts = {r["c"]: r["count"] for r in chars.collect()}
-    marks = texts.where(F.col(column).rlike(r"\p{M}")).select(F.explode(F.regexp_extract_all(column, F.lit(r"(\P{M}\p{M}+)"), 1)).alias("c")).groupBy("c").count()
-    counts.update({r["c"]: r["count"] for r in marks.where(F.length("c") <= 4).collect()})
-    return counts
+    return {r["c"]: r["count"] for r in chars.collect()}
 
 
 class Rewriter:
@@ -118,6 +136,7 @@ class Rewriter:
         self.auto = ahocorasick.Automaton()
         for m, r in self.rep.items():
             self.auto.add_word(m, (m, r))
+        self.plain_ascii = not any(m.isascii() for m in self.rep)  # then ASCII texts hold no member to rewrite
         self.auto.make_automaton()
 
     @staticmethod
@@ -152,12 +171,9 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str | None) -> str | None:
-        if text is None or text.isascii():
+        if text is None or self.plain_ascii and text.isascii():
             return text
-        for _ in range(4):  # a rewritten string may complete another member, as a letter and its accent after an invisible one
-            new = "".join(map(self._one, self._segments(text)))
-            if new == text:
-                break
+        while (new := "".join(map(self._one, self._segments(text)))) != text:  # a rewritten string may complete another member, as a letter and its accent after an invisible one
             text = new
         return unicodedata.normalize("NFC", text)
 

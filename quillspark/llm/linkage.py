@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm import abuse, markup
+from quillspark.llm import confusables, markup
 from quillspark.session import materialize
 
 VOTERS = ("last", "first", "middle", "yob", "sport", "nation", "place", "career")
@@ -40,7 +40,7 @@ def fold(name: str | None) -> str:
     """Plain lower-case letters, digits and spaces: look-alikes, accents, widths and invisible characters don't matter."""
     if not name:
         return ""
-    t = name.translate(abuse._table()) if not name.isascii() else name
+    t = name.translate(confusables.plain_table()) if not name.isascii() else name
     t = unicodedata.normalize("NFKD", t.lower().translate(_LETTERS))
     t = "".join(c for c in t if not unicodedata.combining(c))
     return re.sub(r"[^a-z0-9]+", " ", t.replace("'", "").replace("’", "").replace("-", "")).strip()
@@ -76,7 +76,7 @@ def split_name(tokens: list[str]) -> tuple[str, str, str]:
 
 def halves(raw: str) -> list[str]:
     """Folded names with one part of a hyphenated surname (the last word) each, as before or after a marriage."""
-    *given, last = raw.translate(abuse._table()).split() or [""]
+    *given, last = raw.translate(confusables.plain_table()).split() or [""]
     parts = re.split(r"[-‐‑‒–]", last)
     whole = len(parts) > 1 and all(x[:1].isalpha() and not x[0].islower() for x in parts)
     return [fold(" ".join([*given, x])) for x in parts if len(fold(x)) > 2] if given and whole else []

@@ -183,6 +183,29 @@ def test_union_find_and_rewriter():
     assert all(r(r(k)) == r(k) for k in cases)
 
 
+def test_representatives_are_no_compatibility_forms(spark):
+    names = [(i, f"Christina Ost{i}") for i in range(40)] + [(100, "Christina Öst"), (101, "Chri\ufb06ina Ost7"), (102, "Ru\ufb00o"), (103, "Ruffo"), (104, "N\u2116 1\u2026")]
+    df = spark.createDataFrame(names, "id int, name string")
+    got = {r["id"]: r["unified"] for r in confusables.unify(df, "name", "unified").collect()}
+    assert all(got[i] == n for i, n in names if i < 101) and got[101] == got[7] and got[102] == got[103] == "Ruffo" and got[104] == "NNo 1..."
+    assert sorted(r["id"] for r in confusables.odd_names(df, "name").collect()) == [101, 102, 104]
+    # one word has one form, be it ASCII or not, and whichever form prevails
+    for counts in ({}, {"\ufb06": 99, "\ufb00": 99, "а": 999, "\u00a0": 999, "\u2010": 999, "ｓ": 999}):
+        r = confusables.Rewriter(counts)
+        for word in ("Christina-Ost ab", "Ruffo kilo"):
+            forms = {r(x) for x in (word, word.replace("st", "\ufb06").replace("ff", "\ufb00"), word.replace("-", "\u2010"), word.replace(" ", "\u00a0"), word.replace("a", "а"), word.replace("s", "ｓ"), word[:3] + "\u200b" + word[3:], word[:3] + "\U000e0101" + word[3:])}
+            assert len(forms) == 1
+    assert not any(len(v) > 1 for v in _able_strings())
+
+
+def _able_strings():
+    """Strings of several code points that could represent a class beside another member."""
+    for g in confusables.classes():
+        able = [m for m in g if confusables._settled(m)]
+        if "" not in g and len(able) > 1:
+            yield [m for m in able if len(m) > 1]
+
+
 def test_unify(spark):
     df = spark.createDataFrame([(1, "José"), (1, "José"), (2, "José"), (3, None), (4, "")], "id int, name string").withColumn("unified", F.lit(1))
     got = {r["id"]: r["unified"] for r in confusables.unify(df, "name", "unified").collect()}
