@@ -3,20 +3,26 @@
 Every value is parsed into one kind of tree, whatever the markup. The values of one host (a site, or a column of short
 texts) are aligned by simple tree matching with the host's most frequent tree: nodes whose text is the same wherever
 they occur are template and go, nodes that vary are slots and stay as content. Headings, lists, code and formulas are
-structure and always stay. A value carries markup if its tree doesn't align with that of plain text.
+structure and always stay. A value carries markup if nodes beside running text are left in its aligned tree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
+import sys
+from collections import Counter
+from collections.abc import Container, Iterator
 from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import materialize
+
 #: Element names, block elements, elements whose content is no text.
 TAGS = set(
     "a abbr address article aside b big blockquote body br caption center cite code col dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i img input ins kbd label li link main mark math meta nav noscript nowiki ol p pre q ref references s samp script section small source span strike strong style sub sup svg syntaxhighlight table tbody td template tfoot th thead title tr tt u ul var wbr gallery includeonly poem blink".split()
@@ -35,14 +41,35 @@ class Node:
     def __init__(self, tag: str, text: str = "", kids: list | None = None):
         self.tag, self.text, self.kids = tag, text, kids if kids is not None else []
 
+    def walk(self) -> Iterator[Node]:
+        """The node and all nodes below it, in text order; trees may be of any depth."""
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo.extend(reversed(n.kids))
+
     def size(self) -> int:
-        return 1 + sum(k.size() for k in self.kids)
+        return sum(1 for _ in self.walk())
 
     def words(self) -> str:
-        return self.text + "".join(k.words() for k in self.kids)
+        return "".join(n.text for n in self.walk())
 
     def shape(self) -> str:
-        return self.tag + ("(" + ",".join(k.shape() for k in self.kids) + ")" if self.kids else "")
+        out: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str):
+                out.append(n)
+                continue
+            out.append(n.tag)
+            if n.kids:
+                todo.append(")")
+                for i, k in enumerate(reversed(n.kids)):
+                    todo += [",", k] if i else [k]
+                out.append("(")
+        return "".join(out)
 
 
 _ENTITY = r"&(?:amp;)*(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,10});"
@@ -93,7 +120,9 @@ _LIST_ENVS = {"itemize", "enumerate", "description"}
 _CODE_ENVS = {"verbatim", "lstlisting", "minted"}
 _NO_TEXT_COMMANDS = {"cite", "citep", "citet", "footnote", "label", "ref", "pageref", "vspace", "hspace", "index", "thanks", "usepackage", "documentclass", "includegraphics", "noindent", "par", "newpage", "footnotemark", "bibliography"}
 _HEAD_COMMANDS = {"section", "subsection", "subsubsection", "paragraph", "chapter", "part", "title"}
-DEPTH = 12
+#: Where a match of the grammar can begin.
+_START = re.compile(r"^[ \t]*[`~|=#\-*_+:;>]|[<&{\[_#$\\*`~]|!\[|\]\]|\}\}|''", re.M)
+Todo = list[tuple[str, list]]
 
 
 def _fields(body: str) -> list[str]:
@@ -114,7 +143,7 @@ def _is_entity(s: str) -> bool:
     return name.startswith("#") or name in html5
 
 
-def _template(body: str, depth: int) -> Node:
+def _template(body: str, todo: Todo) -> Node:
     parts = [p.strip() for p in _fields(body)]
     name = parts[0].lower().split(":")[0].strip()
     if name in ("convert", "cvt") and len(parts) > 2:
@@ -125,32 +154,32 @@ def _template(body: str, depth: int) -> Node:
         return Node("formula", parts[-1])
     plain = [p for p in parts[1:] if not re.match(r"[\w -]+=", p)]
     if name in ("ubl", "plainlist", "unbulleted list", "hlist"):
-        return Node("template", "", _kids(", ".join(dict.fromkeys(plain)), depth))
-    return Node("template:" + name, "", _kids(plain[-1], depth) if plain else [])
+        return Node("template", "", _kids(", ".join(dict.fromkeys(plain)), todo))
+    return Node("template:" + name, "", _kids(plain[-1], todo) if plain else [])
 
 
-def _link(body: str, depth: int) -> Node:
+def _link(body: str, todo: Todo) -> Node:
     parts = _fields(body)
     head = parts[0].strip().lower()
     if head.startswith(("file:", "image:", "category:", "datei:", "bild:", "kategorie:", "fichier:", "catégorie:", "archivo:", "categoría:")):
         return Node("link:" + head.split(":")[0], "", [])
-    return Node("link", "", _kids(parts[-1] if parts[-1].strip() else re.sub(r"\s*\([^()]*\)$", "", parts[0]), depth))
+    return Node("link", "", _kids(parts[-1] if parts[-1].strip() else re.sub(r"\s*\([^()]*\)$", "", parts[0]), todo))
 
 
-def _command(m: re.Match, depth: int) -> Node:
+def _command(m: re.Match, todo: Todo) -> Node:
     name, args = m["command"], re.findall(r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", m["cargs"])
     if name in _NO_TEXT_COMMANDS:
         return Node("command:" + name)
     if name in _HEAD_COMMANDS and args:
-        return Node("heading", "#", _kids(args[-1], depth))
+        return Node("heading", "#", _kids(args[-1], todo))
     if name in ("texttt", "verb") and args:
         return Node("code", args[-1])
     if name in ("frac", "sqrt", "sum", "int", "alpha", "beta", "gamma", "cdot", "times", "leq", "geq"):
         return Node("formula", m[0])
-    return Node("command", "", _kids(args[-1], depth) if args else [])
+    return Node("command", "", _kids(args[-1], todo) if args else [])
 
 
-def _node(m: re.Match, depth: int) -> Node | None:
+def _node(m: re.Match, todo: Todo) -> Node | None:
     """The node of one match; None if it is plain use of the same characters."""
     kind = m.lastgroup
     g = m.groupdict()
@@ -168,20 +197,20 @@ def _node(m: re.Match, depth: int) -> Node | None:
     if g["ttable"] is not None:
         rows = re.split(r"^\|-.*$", g["ttable"][2:].removesuffix("|}"), flags=re.M)
         cells = [[c.split("|")[-1].strip() for c in re.split(r"^[|!]|\|\||!!", r, flags=re.M)[1:]] for r in rows]
-        return Node("table", "", [Node("row", "", [Node("cell", "", _kids(c, depth)) for c in r]) for r in cells if r])
+        return Node("table", "", [Node("row", "", [Node("cell", "", _kids(c, todo)) for c in r]) for r in cells if r])
     if g["mtable"] is not None:
         lines = [x.strip().strip("|").split("|") for x in g["mtable"].split("\n")]
-        return Node("table", "", [Node("row", "", [Node("cell", "", _kids(c.strip(), depth)) for c in r]) for i, r in enumerate(lines) if i != 1])
+        return Node("table", "", [Node("row", "", [Node("cell", "", _kids(c.strip(), todo)) for c in r]) for i, r in enumerate(lines) if i != 1])
     if g["template"] is not None:
-        return _template(g["template"], depth)
+        return _template(g["template"], todo)
     if g["link"] is not None:
-        return _link(g["link"], depth)
+        return _link(g["link"], todo)
     if g["mdimage"] is not None:
         return Node("image")
     if g["mdtext"] is not None:
-        return Node("link", "", _kids(g["mdtext"], depth)) if re.match(r"[\w+.-]+:|/|#|\w+\.\w|\w+/", g["mdurl"]) else None
+        return Node("link", "", _kids(g["mdtext"], todo)) if re.match(r"[\w+.-]+:|/|#|\w+\.\w|\w+/", g["mdurl"]) else None
     if g["exturl"] is not None:
-        return Node("link", "", _kids(g["exttext"] or "", depth))
+        return Node("link", "", _kids(g["exttext"] or "", todo))
     if g["broken"] is not None or g["stray"] is not None:
         return Node("broken")
     if g["magic"] is not None:
@@ -197,45 +226,57 @@ def _node(m: re.Match, depth: int) -> Node | None:
         if env in _CODE_ENVS:
             return Node("code", g["ebody"].strip("\n"))
         if env in _LIST_ENVS:
-            return Node("list", "", [Node("item", "", _kids(x.strip(), depth)) for x in re.split(r"\\item\b(?:\[[^\]]*\])?", g["ebody"])[1:]])
-        return Node("environment", "", _kids(g["ebody"], depth))
+            return Node("list", "", [Node("item", "", _kids(x.strip(), todo)) for x in re.split(r"\\item\b(?:\[[^\]]*\])?", g["ebody"])[1:]])
+        return Node("environment", "", _kids(g["ebody"], todo))
     if g["command"] is not None:
-        return _command(m, depth)
+        return _command(m, todo)
     if g["switch"] is not None:
-        return Node("style", "", _kids(g["sbody"], depth))
+        return Node("style", "", _kids(g["sbody"], todo))
     if g["escape"] is not None:
         return Node("escape", m[0][1:])
     if g["latexquote"] is not None:
         return Node("style", "", [Node("text", "“" + g["lq"] + "”")])
     if g["whead"] is not None:
-        return Node("heading", "#" * len(g["wh"]), _kids(g["whead"], depth))
+        return Node("heading", "#" * len(g["wh"]), _kids(g["whead"], todo))
     if g["mhead"] is not None:
-        return Node("heading", g["mh"], _kids(g["mhead"], depth))
+        return Node("heading", g["mh"], _kids(g["mhead"], todo))
     if g["rule"] is not None:
         return Node("rule")
     if g["item"] is not None:
-        return Node("item", "", _kids(g["item"], depth)) if len(g["item"]) > 1 else None
+        return Node("item", "", _kids(g["item"], todo)) if len(g["item"]) > 1 else None
     if g["witem"] is not None:
-        return Node("item", "", _kids(g["witem"], depth))
+        return Node("item", "", _kids(g["witem"], todo))
     for k in ("quote", "wbold", "wital", "mbold", "ubold", "mital", "uital", "strike"):
         if g[k] is not None:
-            return Node("style", "", _kids(g[k], depth))
+            return Node("style", "", _kids(g[k], todo))
     if g["mcode"] is not None:
         return Node("code", g["mcode"])
     raise AssertionError(kind)
 
 
-def _kids(s: str, depth: int = 0) -> list[Node]:
-    """Parse a string; elements nest by their tags, an end tag without a start is a node of its own."""
-    top: list[Node] = []
+def _kids(s: str, todo: Todo) -> list[Node]:
+    """The nodes of a string inside a node: an empty list that is filled when its turn comes."""
+    kids: list[Node] = []
+    if s:
+        todo.append((s, kids))
+    return kids
+
+
+def _fill(s: str, top: list[Node], todo: Todo) -> None:
+    """Parse a string into ``top``; elements nest by their tags, an end tag without a start is a node of its own."""
     stack: list[tuple[str, list[Node]]] = [("", top)]
+    opened: Counter = Counter()
     at = pos = 0
 
     def text(upto: int) -> None:
         if upto > at:
             stack[-1][1].append(Node("text", s[at:upto]))
 
-    while depth < DEPTH and (m := _GRAMMAR.search(s, pos)):
+    while start := _START.search(s, pos):
+        m = _GRAMMAR.match(s, start.start())
+        if m is None:
+            pos = start.start() + 1
+            continue
         if m["tag"] is not None:
             name = m["tname"].lower()
             if name not in TAGS:
@@ -243,105 +284,152 @@ def _kids(s: str, depth: int = 0) -> list[Node]:
                 continue
             text(m.start())
             if m[0][1] == "/":
-                open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-                if open_at:
-                    del stack[open_at:]
+                if opened[name]:
+                    while True:
+                        closed, _ = stack.pop()
+                        opened[closed] -= 1
+                        if closed == name:
+                            break
                 else:
                     stack[-1][1].append(Node("element:/" + name))
             else:
                 if name == "li" and stack[-1][0] == "li" or name == "p" and stack[-1][0] == "p":
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 n = Node("heading" if re.fullmatch("h[1-6]", name) else "item" if name == "li" else "element:" + name, "#" * int(name[1]) if re.fullmatch("h[1-6]", name) else "")
                 stack[-1][1].append(n)
-                if name not in VOID and not m[0].endswith("/>") and len(stack) < 200:
+                if name not in VOID and not m[0].endswith("/>"):
                     stack.append((name, n.kids))
+                    opened[name] += 1
             at = pos = m.end()
             continue
-        n = _node(m, depth + 1)
+        n = _node(m, todo)
         if n is None or m.end() == m.start():
             pos = m.start() + 1
             continue
         text(m.start())
         stack[-1][1].append(n)
         at = pos = m.end()
-        if n.tag in ("item", "heading") and s[at : at + 1] == "\n" and not m[0].endswith("\n"):
-            pos = at  # the line break stays with the text that follows
     text(len(s))
-    return top
 
 
 def parse(value: str | None) -> Node:
-    """The tree of a text; plain text is a root with at most one text node."""
-    return Node("root", "", _kids(value or ""))
-
-
-PLAIN = Node("root", "", [Node("text")])
-
+    """The tree of a text, however deep it nests; plain text is a root with at most one text node."""
+    root = Node("root")
+    todo: Todo = [(value or "", root.kids)]
+    while todo:
+        _fill(*todo.pop(), todo)
+    return root
+
+
+class Shapes:
+    """Numbers of subtree shapes (equal for equal shapes), and the sizes of the best mappings between them."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.best: dict[tuple[int, int], int] = {}
+
+    def of(self, tree: Node) -> dict[int, int]:
+        """id of each node of the tree -> number of its shape."""
+        out: dict[int, int] = {}
+        for n in reversed(list(tree.walk())):
+            key = (n.tag, *[out[id(k)] for k in n.kids])
+            if key not in self.number:
+                self.number[key] = len(self.tags)
+                self.tags.append(n.tag)
+                self.kids.append(key[1:])
+                self.sizes.append(1 + sum(self.sizes[k] for k in key[1:]))
+            out[id(n)] = self.number[key]
+        return out
 
-def match(a: Node, b: Node) -> int:
-    """Simple tree matching: the size of the largest top-down, order-keeping mapping of equal tags."""
-    if a.tag != b.tag:
-        return 0
-    row = [0] * (len(b.kids) + 1)
-    for x in a.kids:
-        new = [0]
-        for j, y in enumerate(b.kids):
-            new.append(max(row[j + 1], new[j], row[j] + match(x, y)))
-        row = new
-    return 1 + row[-1]
-
-
-def align(a: Node, b: Node) -> list[tuple[Node, str]]:
-    """Each node of ``a`` with its slot: the path of the node of ``b`` it is matched with, else a path of its own tags.
-    Sizes of matched subtrees are worked out once a pair."""
-    sizes: dict[tuple[int, int], int] = {}
-
-    def size(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
+    def match(self, a: int, b: int) -> int:
+        """Simple tree matching: the size of the largest top-down, order-keeping mapping of equal tags."""
+        todo = [(a, b)]
+        while todo:  # pairs of kids first; no recursion, since trees may be of any depth
+            x, y = todo[-1]
+            if self.known(x, y) is None:
+                new = [(p, q) for p in set(self.kids[x]) for q in set(self.kids[y]) if self.known(p, q) is None]
+                if new:
+                    todo += new
+                    continue
+                self.best[x, y] = 1 + self._rows(self.kids[x], self.kids[y])[-1][-1]
+            todo.pop()
+        return self.known(a, b)
+
+    def known(self, x: int, y: int) -> int | None:
+        if x == y:
+            return self.sizes[x]
+        if self.tags[x] != self.tags[y]:
             return 0
-        if not x.kids or not y.kids:
+        if not self.kids[x] or not self.kids[y]:
             return 1
-        key = (id(x), id(y))
-        if key not in sizes:
-            row = [0] * (len(y.kids) + 1)
-            for i in x.kids:
-                new = [0]
-                for j, k in enumerate(y.kids):
-                    new.append(max(row[j + 1], new[j], row[j] + size(i, k)))
-                row = new
-            sizes[key] = 1 + row[-1]
-        return sizes[key]
-
-    def walk(x: Node, y: Node, path: str) -> list[tuple[Node, str]]:
-        out = [(x, path)]
-        n, k = len(x.kids), len(y.kids)
-        w = [[size(p, q) for q in y.kids] for p in x.kids]
-        best = [[0] * (k + 1) for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(k):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j])
-        pairs, i, j = {}, n, k
+        return self.best.get((x, y))
+
+    def _rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[list[int]]:
+        rows = [[0] * (len(ys) + 1)]
+        for p in xs:
+            old, new = rows[-1], [0]
+            for j, q in enumerate(ys):
+                new.append(max(old[j + 1], new[j], old[j] + self.known(p, q)))
+            rows.append(new)
+        return rows
+
+    def pairs(self, x: int, y: int) -> dict[int, int]:
+        """Places of the kids of x -> places of the kids of y they are mapped to. Equal kids at either end are mapped to
+        each other, which a best mapping always can."""
+        xs, ys = self.kids[x], self.kids[y]
+        lo, n, k = 0, len(xs), len(ys)
+        out: dict[int, int] = {}
+        while lo < min(n, k) and xs[lo] == ys[lo]:
+            out[lo] = lo
+            lo += 1
+        while min(n, k) > lo and xs[n - 1] == ys[k - 1]:
+            n, k = n - 1, k - 1
+            out[n] = k
+        for p in set(xs[lo:n]):
+            for q in set(ys[lo:k]):
+                self.match(p, q)
+        rows = self._rows(xs[lo:n], ys[lo:k])
+        i, j = n - lo, k - lo
         while i and j:
-            if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
-                pairs[i - 1] = j - 1
+            w = self.known(xs[lo + i - 1], ys[lo + j - 1])
+            if w and rows[i][j] == rows[i - 1][j - 1] + w:
                 i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
+                out[lo + i] = lo + j
+            elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        for i, p in enumerate(x.kids):
-            if i in pairs:
-                out += walk(p, y.kids[pairs[i]], f"{path}/{y.kids[pairs[i]].tag}[{pairs[i]}]")
-            else:
-                out += [(z, f"{path}/~{q}") for z, q in _own(p)]
         return out
 
-    return walk(a, b, a.tag) if a.tag == b.tag else [(z, f"~{q}") for z, q in _own(a)]
 
-
-def _own(n: Node, path: str = "") -> list[tuple[Node, str]]:
-    here = f"{path}/{n.tag}"
-    return [(n, here), *(z for k in n.kids for z in _own(k, here))]
+def match(a: Node, b: Node) -> int:
+    """The size of the largest top-down, order-keeping mapping of equal tags between two trees."""
+    s = Shapes()
+    return s.match(s.of(a)[id(a)], s.of(b)[id(b)])
+
+
+def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, str]]:
+    """Each node of ``a``, in text order, with its slot: the path of the node of ``b`` it is matched with, else a path of its own tags."""
+    s = shapes or Shapes()
+    of_a, of_b = s.of(a), s.of(b)
+    out: list[tuple[Node, str]] = []
+    todo: list[tuple[Node, Node | None, str]] = [(a, b, a.tag) if a.tag == b.tag else (a, None, "~/" + a.tag)]
+    while todo:
+        x, y, path = todo.pop()
+        out.append((x, path))
+        if y is None:
+            todo += [(k, None, f"{path}/{k.tag}") for k in reversed(x.kids)]
+            continue
+        mapped = s.pairs(of_a[id(x)], of_b[id(y)])
+        new = []
+        for i, k in enumerate(x.kids):
+            j = mapped.get(i)
+            new.append((k, None, f"{path}/~/{k.tag}") if j is None else (k, y.kids[j], f"{path}/{y.kids[j].tag}[{j}]"))
+        todo += reversed(new)
+    return out
 
 
 def render(n: Node, drop: frozenset = frozenset()) -> str:
@@ -353,7 +441,7 @@ def render(n: Node, drop: frozenset = frozenset()) -> str:
         return n.text
     if tag in ("comment", "note", "broken", "magic", "image") or tag.startswith(("link:", "command:")):
         return ""
-    inner = "".join(render(k, drop) for k in n.kids)
+    inner = "".join([render(k, drop) for k in n.kids])
     if tag == "code":
         return f"\n```\n{n.text}\n```\n" if "\n" in n.text else f"`{n.text}`"
     if tag == "formula":
@@ -363,7 +451,7 @@ def render(n: Node, drop: frozenset = frozenset()) -> str:
     if tag == "item":
         return f"\n- {inner.strip()}"
     if tag == "row":
-        return " | ".join(render(k, drop).strip() for k in n.kids) + "\n"
+        return " | ".join([render(k, drop).strip() for k in n.kids]) + "\n"
     if tag in ("list", "table"):
         return f"\n{inner}\n"
     if tag.startswith("element:"):
@@ -372,6 +460,27 @@ def render(n: Node, drop: frozenset = frozenset()) -> str:
     return inner
 
 
+def rendered(n: Node, drop: frozenset = frozenset()) -> str:
+    """``render`` for trees of any depth."""
+    before = sys.getrecursionlimit()
+    deep = max((d for _, d in _depths(n)), default=0) * 2 + 1000
+    if deep <= before:
+        return render(n, drop)
+    sys.setrecursionlimit(deep)  # frames of plain functions take no stack of the process
+    try:
+        return render(n, drop)
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def _depths(n: Node) -> Iterator[tuple[Node, int]]:
+    todo = [(n, 1)]
+    while todo:
+        x, d = todo.pop()
+        yield x, d
+        todo += [(k, d + 1) for k in x.kids]
+
+
 def tidy(s: str) -> str:
     """Spaces and line breaks in order, outside of code blocks."""
     parts = re.split(r"(\n```\n.*?\n```\n)", s, flags=re.S)
@@ -383,7 +492,7 @@ def tidy(s: str) -> str:
 
 def strip(value: str | None) -> str | None:
     """Clean text of one value alone, without the wrapper of its host."""
-    return None if value is None else tidy(render(parse(value)))
+    return None if value is None else tidy(rendered(parse(value)))
 
 
 def _short(s: str, n: int) -> str:
@@ -391,29 +500,16 @@ def _short(s: str, n: int) -> str:
     return s if len(s) <= n else s[:n] + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def carries_markup(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: whether the tree of ``text`` has nodes that simple tree matching can't align with plain text.
-    False for NULL and empty texts; whole texts are parsed; other columns stay."""
-
-    @F.pandas_udf("boolean")
-    def marked(texts: pd.Series) -> pd.Series:
-        def one(s):
-            tree = parse(s)
-            return tree.size() > match(tree, PLAIN)
-
-        return texts.map(lambda s: bool(s) and one(s))
-
-    return df.withColumn(out, marked(F.col(text)))
-
-
-def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, least: int = 5) -> DataFrame:
-    """Add ``out``: ``text`` without markup and without the template of its host.
+def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, least: int = 5, flag: str | None = None) -> DataFrame:
+    """Add ``out``: ``text`` without markup and without the template of its host; and ``flag``, if given: whether the
+    text carries markup, that is, whether its aligned tree has nodes beside running text.
 
     The wrapper of a host is induced from all its rows: the most frequent tree is the reference, of any length, each tree is aligned
     with it, and a slot whose most frequent text makes up ``share`` of at least ``least`` occurrences is template; that
     text in that slot, compared as a whole, is dropped, unless it is structure or running text of the value. Counts are aggregated before
     they are shuffled, and only slots below markup nodes are counted, so a host with any share of the rows is no hot
-    group. NULL texts stay NULL, NULL hosts are one host, empty tables give no rows; an existing ``out`` is replaced."""
+    group. References and wrappers meet the rows in one join, after which nothing is shuffled. NULL texts stay NULL (flag: false), NULL
+    hosts are one host, empty tables give no rows; an existing ``out`` or ``flag`` is replaced."""
     base = df.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
 
     @F.pandas_udf("string")
@@ -421,42 +517,66 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
         return texts.map(lambda s: _short(parse(s).shape(), 2000) if s else None)
 
     shapes = base.select("__host", F.col(text).alias("t")).withColumn("shape", shape("t")).where("shape IS NOT NULL").groupBy("__host", "shape").agg(F.count("*").alias("n"), F.min("t").alias("t"))
-    refs = shapes.withColumn("marked", F.col("shape").contains(",")).groupBy("__host").agg(F.max_by("t", F.struct("marked", "n", "shape")).alias("__ref"))
+    refs = materialize(shapes.withColumn("marked", F.col("shape").contains(",")).groupBy("__host").agg(F.max_by("t", F.struct("marked", "n", "shape")).alias("__ref")))
 
     @F.pandas_udf("array<struct<slot:string,text:string>>")
     def slots(texts: pd.Series, refs: pd.Series) -> pd.Series:
-        known: dict = {}
-        return pd.Series([[(p, _short(n.words(), 200)) for n, p in _template_nodes(s, r, known)] if s else [] for s, r in zip(texts, refs)])
+        known = _References()
+        return pd.Series([[(p, w) for _, p, w in known.slots(known.aligned(parse(s), r))] if s else [] for s, r in zip(texts, refs)])
 
-    joined = base.join(refs, "__host", "left")
-    each = joined.select("__host", F.explode(slots(F.col(text), F.col("__ref"))).alias("s")).groupBy("__host", "s.slot", "s.text").count()
+    each = base.join(refs, "__host", "left").select("__host", F.explode(slots(F.col(text), F.col("__ref"))).alias("s")).groupBy("__host", "s.slot", "s.text").count()
     fixed = each.groupBy("__host", "slot").agg(F.sum("count").alias("n"), F.max(F.struct("count", "text")).alias("top")).where((F.col("n") >= least) & (F.col("top.count") >= share * F.col("n")))
     wrapper = fixed.groupBy("__host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "top.text"))).alias("__wrapper"))
+    hosts = materialize(refs.join(wrapper, "__host", "left"))
 
-    @F.pandas_udf("string")
-    def finish(texts: pd.Series, refs: pd.Series, wrappers: pd.Series) -> pd.Series:
-        known: dict = {}
+    @F.pandas_udf("struct<clean:string,marked:boolean>")
+    def finish(texts: pd.Series, refs: pd.Series, wrappers: pd.Series) -> pd.DataFrame:
+        known = _References()
 
         def one(s, r, w):
-            if s is None:
-                return None
+            if not s:
+                return s, False
             w = dict(w) if w is not None else {}
             tree = parse(s)
-            gone = frozenset(id(n) for n, p in _template_nodes(tree, r, known) if p in w and w[p] == _short(n.words(), 200))
-            return tidy(render(tree, gone))
-
-        return pd.Series([one(*x) for x in zip(texts, refs, wrappers)])
-
-    return joined.join(wrapper, "__host", "left").withColumn(out, finish(F.col(text), F.col("__ref"), F.col("__wrapper"))).drop("__host", "__ref", "__wrapper")
-
-
-def _template_nodes(tree: Node | str, ref: str | None, known: dict) -> list[tuple[Node, str]]:
-    """Nodes that may be template, each with its slot: markup nodes that are neither structure nor inside of it."""
-    if isinstance(tree, str):
-        tree = parse(tree)
-    if ref not in known:
-        known[ref] = parse(ref)
-    return [(n, p) for n, p in align(tree, known[ref]) if n.tag not in STRUCTURE and n.tag not in ("root", "text", "entity", "escape", "style") and not any(x in p for x in ("heading", "item", "list"))]
+            aligned = known.aligned(tree, r)
+            gone = frozenset(id(n) for n, p, x in known.slots(aligned, w) if w[p] == x)
+            return tidy(rendered(tree, gone)), any(n.tag not in ("root", "text") for n, _ in aligned)
+
+        return pd.DataFrame([one(*x) for x in zip(texts, refs, wrappers)], columns=["clean", "marked"])
+
+    done = base.join(hosts, "__host", "left").withColumn("__done", finish(F.col(text), F.col("__ref"), F.col("__wrapper"))).withColumn(out, F.col("__done.clean"))
+    return (done.withColumn(flag, F.col("__done.marked")) if flag else done).drop("__host", "__ref", "__wrapper", "__done")
+
+
+class _References:
+    """Parsed references of the hosts of a batch, and the alignment of trees with them."""
+
+    def __init__(self) -> None:
+        self.trees: dict[str | None, Node] = {}
+        self.shapes = Shapes()
+
+    def aligned(self, tree: Node, ref: str | None) -> list[tuple[Node, str]]:
+        if len(self.shapes.best) > 1_000_000:
+            self.shapes = Shapes()
+        if ref not in self.trees:
+            self.trees[ref] = parse(ref)
+        return align(tree, self.trees[ref], self.shapes)
+
+    @staticmethod
+    def slots(aligned: list[tuple[Node, str]], among: Container[str] | None = None) -> list[tuple[Node, str, str]]:
+        """Nodes that may be template, each with its slot and its whole text: markup nodes that are neither structure nor
+        inside of it; of slots ``among`` only, if given."""
+        flat = "".join(n.text for n, _ in aligned)
+        ends = list(itertools.accumulate(len(n.text) for n, _ in aligned))
+        last: dict[int, int] = {}  # place of the last node below each node
+        for i in range(len(aligned) - 1, -1, -1):
+            n = aligned[i][0]
+            last[id(n)] = last[id(n.kids[-1])] if n.kids else i
+        return [
+            (n, p, _short(flat[ends[i] - len(n.text) : ends[last[id(n)]]], 200))
+            for i, (n, p) in enumerate(aligned)
+            if n.tag not in STRUCTURE and n.tag not in ("root", "text", "entity", "escape", "style") and (among is None or p in among) and not any(x in p for x in ("heading", "item", "list"))
+        ]
 
 
 #: Entries that stand for a missing text.

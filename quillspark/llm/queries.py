@@ -26,7 +26,7 @@ def _wiki_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.carries_markup(_wiki_values(spark, d), "value", "marked").where("marked").select("wiki_id", "field").distinct()
+    return markup.clean(_wiki_values(spark, d), "field", "value", "clean", flag="marked").where("marked").select("wiki_id", "field").distinct()
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -91,13 +91,14 @@ def test_double_surnames(spark):
 # p2
 
 MARKED = ["**Club**", "''x''", "{{nowrap|Club}}", "[[A (b)|A]]", "a&nbsp;b", "AC <!-- sic -->", "x<br />", "Club]]", "[[Club", r"\textsc{A}", "$$s = x$$", "`code`", "[A](https://a.example/x)", "== H ==", "# Head", "* item one", "<small>x</small>", "| a | b |\n|---|---|\n| 1 | 2 |", r"y~\cite{k}", "<ref>q</ref>x", "__NOTOC__a", "{\\it x}", "&amp;nbsp;"]
+PLAIN = markup.Node("root", "", [markup.Node("text")])
 UNMARKED = ["Club #7 Town", "A <30 Squad", "R&D Racing", "A & B", "rose from $5,000 to $12,000", "$5,000 to $", "4 * 100 relay", "user_7_official", "[sic]", "was > 4 s ahead", "< 1 s", "50 % luck", "[...]", "a/b", "O'Brien's", "2 ^ 3", LONG, ""]
 
 
 def test_markup():
-    bad = [x for x in MARKED if markup.parse(x).size() == markup.match(markup.parse(x), markup.PLAIN)]
+    bad = [x for x in MARKED if markup.parse(x).size() == markup.match(markup.parse(x), PLAIN)]
     assert not bad
-    bad = [x[:40] for x in UNMARKED if markup.parse(x).size() > markup.match(markup.parse(x), markup.PLAIN)]
+    bad = [x[:40] for x in UNMARKED if markup.parse(x).size() > markup.match(markup.parse(x), PLAIN)]
     assert not bad
     assert markup.strip("<h2>Early</h2><p>A [[b|c]] {{convert|3|m}}</p><ul><li>one</li><li>two</li></ul><pre>x = 1\ny</pre> $$e=1$$") == "## Early\n\nA c 3 m\n\n- one\n- two\n\n```\nx = 1\ny\n```\n $e=1$"
     assert markup.strip(None) is None and markup.strip("") == "" and len(markup.strip("{{" * 3000 + "x")) < 10_000
@@ -133,7 +134,27 @@ def test_wrapper(spark):
     stories = [x for x in got if x and "Story" in x]
     assert len(stories) == 30 and all("Menu" not in x and "& more" in x for x in stories)
     assert markup.clean(df.limit(0), "site", "html", "clean").count() == 0
-    assert [r["m"] for r in markup.carries_markup(df.where("site = 'g' OR html IS NULL"), "html", "m").collect()] == [False, False]
+    flags = {r["html"]: (r["clean"], r["m"]) for r in markup.clean(df.withColumn("m", F.lit("old")), "site", "html", "clean", flag="m").collect()}
+    assert flags[None] == (None, False) and flags[""] == ("", False) and flags["a **b**"] == ("a b", True) and all(m for x, (_, m) in flags.items() if x and "Story" in x)
+
+
+def test_flags_of_columns(spark):
+    rows = [(i, "c", x) for i, x in enumerate(MARKED + UNMARKED)] + [(500 + i, "plain", x) for i, x in enumerate(UNMARKED)] + [(900 + i, "c", f"**Club {i}**") for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, field string, value string")
+    got = {r["id"] for r in markup.clean(df, "field", "value", "clean", flag="marked").where("marked").collect()}
+    assert got == {*range(len(MARKED)), *range(900, 930)}
+
+
+def test_markup_of_any_depth():
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert markup.strip(deep) == "x" and markup.parse(deep).size() == 3002
+    quoted = "> " * 400 + "said *so*"
+    assert markup.strip(quoted) == "said so"
+    nested = "".join(f"\\begin{{box{'a' * i}}}" for i in range(40)) + "in **the** middle" + "".join(f"\\end{{box{'a' * i}}}" for i in reversed(range(40)))
+    assert markup.strip(nested) == "in the middle"
+    assert markup.match(markup.parse(deep), markup.parse(deep)) == 3002 and len(markup.align(markup.parse(deep), markup.parse(deep))) == 3002
+    assert markup.match(markup.parse(deep), markup.parse(deep.replace("x", "<b>y</b>"))) == 3001
+    assert markup.strip("<b></i>" * 20_000 + "end") == "end"
 
 
 def test_wrapper_compares_whole_texts(spark):
