@@ -122,6 +122,10 @@ _NO_TEXT_COMMANDS = {"cite", "citep", "citet", "footnote", "label", "ref", "page
 _HEAD_COMMANDS = {"section", "subsection", "subsubsection", "paragraph", "chapter", "part", "title"}
 #: Where a match of the grammar can begin.
 _START = re.compile(r"^[ \t]*[`~|=#\-*_+:;>]|[<&{\[_#$\\*`~]|!\[|\]\]|\}\}|''", re.M)
+_TAG = re.compile(r"</?(?P<tname>[a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?/?>")
+#: Elements that the grammar reads in other ways too; all others can be matched by their tag alone.
+_OWN_RULES = {"pre", "code", "nowiki", "math", "syntaxhighlight", "script", "style", "tt", "kbd", "samp", "ref", "sup"}
+_HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 Todo = list[tuple[str, list]]
 
 
@@ -273,17 +277,22 @@ def _fill(s: str, top: list[Node], todo: Todo) -> None:
             stack[-1][1].append(Node("text", s[at:upto]))
 
     while start := _START.search(s, pos):
-        m = _GRAMMAR.match(s, start.start())
-        if m is None:
-            pos = start.start() + 1
-            continue
-        if m["tag"] is not None:
+        begin = start.start()
+        m = _TAG.match(s, begin) if s[begin] == "<" else None
+        is_tag = m is not None and m["tname"].lower() not in _OWN_RULES
+        if not is_tag:
+            m = _GRAMMAR.match(s, begin)
+            if m is None:
+                pos = begin + 1
+                continue
+            is_tag = m.lastgroup == "tag"
+        if is_tag:
             name = m["tname"].lower()
             if name not in TAGS:
-                pos = m.start() + 1
+                pos = begin + 1
                 continue
-            text(m.start())
-            if m[0][1] == "/":
+            text(begin)
+            if s[begin + 1] == "/":
                 if opened[name]:
                     while True:
                         closed, _ = stack.pop()
@@ -293,11 +302,11 @@ def _fill(s: str, top: list[Node], todo: Todo) -> None:
                 else:
                     stack[-1][1].append(Node("element:/" + name))
             else:
-                if name == "li" and stack[-1][0] == "li" or name == "p" and stack[-1][0] == "p":
+                if name == stack[-1][0] and name in ("li", "p"):
                     opened[stack.pop()[0]] -= 1
-                n = Node("heading" if re.fullmatch("h[1-6]", name) else "item" if name == "li" else "element:" + name, "#" * int(name[1]) if re.fullmatch("h[1-6]", name) else "")
+                n = Node("heading", _HEADINGS[name]) if name in _HEADINGS else Node("item" if name == "li" else "element:" + name)
                 stack[-1][1].append(n)
-                if name not in VOID and not m[0].endswith("/>"):
+                if name not in VOID and s[m.end() - 2] != "/":
                     stack.append((name, n.kids))
                     opened[name] += 1
             at = pos = m.end()
@@ -330,18 +339,20 @@ class Shapes:
         self.kids: list[tuple[int, ...]] = []
         self.sizes: list[int] = []
         self.best: dict[tuple[int, int], int] = {}
+        self.maps: dict[tuple[int, int], dict[int, int]] = {}
 
     def of(self, tree: Node) -> dict[int, int]:
         """id of each node of the tree -> number of its shape."""
         out: dict[int, int] = {}
         for n in reversed(list(tree.walk())):
-            key = (n.tag, *[out[id(k)] for k in n.kids])
-            if key not in self.number:
-                self.number[key] = len(self.tags)
+            key = (n.tag, *[out[id(k)] for k in n.kids]) if n.kids else (n.tag,)
+            got = self.number.get(key)
+            if got is None:
+                got = self.number[key] = len(self.tags)
                 self.tags.append(n.tag)
                 self.kids.append(key[1:])
                 self.sizes.append(1 + sum(self.sizes[k] for k in key[1:]))
-            out[id(n)] = self.number[key]
+            out[id(n)] = got
         return out
 
     def match(self, a: int, b: int) -> int:
@@ -350,11 +361,13 @@ class Shapes:
         while todo:  # pairs of kids first; no recursion, since trees may be of any depth
             x, y = todo[-1]
             if self.known(x, y) is None:
-                new = [(p, q) for p in set(self.kids[x]) for q in set(self.kids[y]) if self.known(p, q) is None]
+                head, xs, ys, tail = self._ends(x, y)
+                new = [(p, q) for p in set(xs) for q in set(ys) if self.known(p, q) is None]
                 if new:
                     todo += new
                     continue
-                self.best[x, y] = 1 + self._rows(self.kids[x], self.kids[y])[-1][-1]
+                same = sum(self.sizes[k] for k in (*self.kids[x][:head], *self.kids[x][len(self.kids[x]) - tail :]))
+                self.best[x, y] = 1 + same + (self._rows(xs, ys)[-1][-1] if xs and ys else 0)
             todo.pop()
         return self.known(a, b)
 
@@ -369,41 +382,60 @@ class Shapes:
 
     def _rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[list[int]]:
         rows = [[0] * (len(ys) + 1)]
+        weights: dict[int, list[int]] = {}
         for p in xs:
-            old, new = rows[-1], [0]
-            for j, q in enumerate(ys):
-                new.append(max(old[j + 1], new[j], old[j] + self.known(p, q)))
+            if p not in weights:
+                weights[p] = [self.known(p, q) for q in ys]
+            old, best, new = rows[-1], 0, [0]
+            for above, diagonal, w in zip(old[1:], old, weights[p]):
+                if above > best:
+                    best = above
+                if diagonal + w > best:
+                    best = diagonal + w
+                new.append(best)
             rows.append(new)
         return rows
 
     def pairs(self, x: int, y: int) -> dict[int, int]:
         """Places of the kids of x -> places of the kids of y they are mapped to. Equal kids at either end are mapped to
         each other, which a best mapping always can."""
-        xs, ys = self.kids[x], self.kids[y]
-        lo, n, k = 0, len(xs), len(ys)
-        out: dict[int, int] = {}
-        while lo < min(n, k) and xs[lo] == ys[lo]:
-            out[lo] = lo
-            lo += 1
-        while min(n, k) > lo and xs[n - 1] == ys[k - 1]:
-            n, k = n - 1, k - 1
-            out[n] = k
-        for p in set(xs[lo:n]):
-            for q in set(ys[lo:k]):
+        if (x, y) in self.maps:
+            return self.maps[x, y]
+        out = self.maps[x, y] = self._pairs(x, y)
+        return out
+
+    def _pairs(self, x: int, y: int) -> dict[int, int]:
+        head, xs, ys, tail = self._ends(x, y)
+        n, k = len(self.kids[x]), len(self.kids[y])
+        out = {i: i for i in range(head)} | {n - i: k - i for i in range(1, tail + 1)}
+        if not xs or not ys:
+            return out
+        for p in set(xs):
+            for q in set(ys):
                 self.match(p, q)
-        rows = self._rows(xs[lo:n], ys[lo:k])
-        i, j = n - lo, k - lo
+        rows = self._rows(xs, ys)
+        i, j = len(xs), len(ys)
         while i and j:
-            w = self.known(xs[lo + i - 1], ys[lo + j - 1])
+            w = self.known(xs[i - 1], ys[j - 1])
             if w and rows[i][j] == rows[i - 1][j - 1] + w:
                 i, j = i - 1, j - 1
-                out[lo + i] = lo + j
+                out[head + i] = head + j
             elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
         return out
 
+    def _ends(self, x: int, y: int) -> tuple[int, tuple[int, ...], tuple[int, ...], int]:
+        """How many kids of x and y are equal at the start, the kids between, and how many are equal at the end."""
+        xs, ys = self.kids[x], self.kids[y]
+        head, n, k = 0, len(xs), len(ys)
+        while head < n and head < k and xs[head] == ys[head]:
+            head += 1
+        while n > head and k > head and xs[n - 1] == ys[k - 1]:
+            n, k = n - 1, k - 1
+        return head, xs[head:n], ys[head:k], len(xs) - n
+
 
 def match(a: Node, b: Node) -> int:
     """The size of the largest top-down, order-keeping mapping of equal tags between two trees."""
@@ -411,10 +443,10 @@ def match(a: Node, b: Node) -> int:
     return s.match(s.of(a)[id(a)], s.of(b)[id(b)])
 
 
-def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, str]]:
+def align(a: Node, b: Node, shapes: Shapes | None = None, of_b: dict[int, int] | None = None) -> list[tuple[Node, str]]:
     """Each node of ``a``, in text order, with its slot: the path of the node of ``b`` it is matched with, else a path of its own tags."""
     s = shapes or Shapes()
-    of_a, of_b = s.of(a), s.of(b)
+    of_a, of_b = s.of(a), of_b or s.of(b)
     out: list[tuple[Node, str]] = []
     todo: list[tuple[Node, Node | None, str]] = [(a, b, a.tag) if a.tag == b.tag else (a, None, "~/" + a.tag)]
     while todo:
@@ -423,12 +455,12 @@ def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, st
         if y is None:
             todo += [(k, None, f"{path}/{k.tag}") for k in reversed(x.kids)]
             continue
+        if not x.kids:
+            continue
         mapped = s.pairs(of_a[id(x)], of_b[id(y)])
-        new = []
-        for i, k in enumerate(x.kids):
-            j = mapped.get(i)
-            new.append((k, None, f"{path}/~/{k.tag}") if j is None else (k, y.kids[j], f"{path}/{y.kids[j].tag}[{j}]"))
-        todo += reversed(new)
+        for i in range(len(x.kids) - 1, -1, -1):
+            k, j = x.kids[i], mapped.get(i)
+            todo.append((k, None, f"{path}/~/{k.tag}") if j is None else (k, y.kids[j], f"{path}/{k.tag}[{j}]"))
     return out
 
 
@@ -538,9 +570,8 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
                 return s, False
             w = dict(w) if w is not None else {}
             tree = parse(s)
-            aligned = known.aligned(tree, r)
-            gone = frozenset(id(n) for n, p, x in known.slots(aligned, w) if w[p] == x)
-            return tidy(rendered(tree, gone)), any(n.tag not in ("root", "text") for n, _ in aligned)
+            gone = frozenset(id(n) for n, p, x in known.slots(known.aligned(tree, r), w) if w[p] == x) if w else frozenset()
+            return tidy(rendered(tree, gone)), any(n.tag not in ("root", "text") for n in tree.walk())
 
         return pd.DataFrame([one(*x) for x in zip(texts, refs, wrappers)], columns=["clean", "marked"])
 
@@ -552,15 +583,17 @@ class _References:
     """Parsed references of the hosts of a batch, and the alignment of trees with them."""
 
     def __init__(self) -> None:
-        self.trees: dict[str | None, Node] = {}
+        self.trees: dict[str | None, tuple[Node, dict[int, int]]] = {}
         self.shapes = Shapes()
 
     def aligned(self, tree: Node, ref: str | None) -> list[tuple[Node, str]]:
-        if len(self.shapes.best) > 1_000_000:
-            self.shapes = Shapes()
+        if len(self.shapes.best) + len(self.shapes.maps) + len(self.shapes.number) > 300_000:  # a memo, not a bound
+            self.trees, self.shapes = {}, Shapes()
         if ref not in self.trees:
-            self.trees[ref] = parse(ref)
-        return align(tree, self.trees[ref], self.shapes)
+            of = parse(ref)
+            self.trees[ref] = of, self.shapes.of(of)
+        of, numbers = self.trees[ref]
+        return align(tree, of, self.shapes, numbers)
 
     @staticmethod
     def slots(aligned: list[tuple[Node, str]], among: Container[str] | None = None) -> list[tuple[Node, str, str]]:
