@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: The same for sides whose rows may be long: at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def session(name: str = "quillspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,10 +28,14 @@ def session(name: str = "quillspark", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) an own one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset on one machine, as in tests, an own temporary one is set and
+    removed when Python ends; on a cluster the setting is required, since executors can't see the driver's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         where = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
@@ -40,15 +48,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if a count shows at most ``rows`` rows, else ``df`` as it is (AQE then picks the join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """``F.broadcast(df)`` if a count shows at most ``rows`` rows, else ``df`` as it is (AQE then picks the join). ``size``: an
+    estimate of a row's bytes, where rows may be long; their sum must be at most ``BROADCAST_BYTES`` then."""
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions, as a small file does; large inputs stay as they are read."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """The same rows over all cores, if the plan's estimate of their bytes fills fewer splits than there are cores; a larger
+    input has a task a split as it is read, and isn't shuffled. Only where rows are worked on depends on it."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * split else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
