@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import materialize
+from quillspark.session import broadcast_if_small, materialize
 
 #: Element names, block elements, elements whose content is no text.
 TAGS = set(
@@ -556,10 +556,11 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
         known = _References()
         return pd.Series([[(p, w) for _, p, w in known.slots(known.aligned(parse(s), r))] if s else [] for s, r in zip(texts, refs)])
 
-    each = base.join(refs, "__host", "left").select("__host", F.explode(slots(F.col(text), F.col("__ref"))).alias("s")).groupBy("__host", "s.slot", "s.text").count()
+    each = base.join(broadcast_if_small(refs, size=F.length("__ref") * 2), "__host", "left").select("__host", F.explode(slots(F.col(text), F.col("__ref"))).alias("s")).groupBy("__host", "s.slot", "s.text").count()
     fixed = each.groupBy("__host", "slot").agg(F.sum("count").alias("n"), F.max(F.struct("count", "text")).alias("top")).where((F.col("n") >= least) & (F.col("top.count") >= share * F.col("n")))
     wrapper = fixed.groupBy("__host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "top.text"))).alias("__wrapper"))
     hosts = materialize(refs.join(wrapper, "__host", "left"))
+    hosts = broadcast_if_small(hosts, size=F.coalesce(F.length("__ref") + F.length(F.to_json("__wrapper")), F.lit(0)) * 2)
 
     @F.pandas_udf("struct<clean:string,marked:boolean>")
     def finish(texts: pd.Series, refs: pd.Series, wrappers: pd.Series) -> pd.DataFrame:
