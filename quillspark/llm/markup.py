@@ -546,9 +546,9 @@ def clean(df: DataFrame, host: str, text: str, out: str, share: float = 0.5, lea
 
     @F.pandas_udf("string")
     def shape(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: _short(parse(s).shape(), 2000) if s else None)
+        return texts.map(lambda s: _short(parse(s).shape(), 2000))
 
-    shapes = base.select("__host", F.col(text).alias("t")).withColumn("shape", shape("t")).where("shape IS NOT NULL").groupBy("__host", "shape").agg(F.count("*").alias("n"), F.min("t").alias("t"))
+    shapes = base.select("__host", F.col(text).alias("t")).where("t != ''").withColumn("shape", shape("t")).groupBy("__host", "shape").agg(F.count("*").alias("n"), F.min("t").alias("t"))
     refs = materialize(shapes.withColumn("marked", F.col("shape").contains(",")).groupBy("__host").agg(F.max_by("t", F.struct("marked", "n", "shape")).alias("__ref")))
 
     @F.pandas_udf("array<struct<slot:string,text:string>>")
