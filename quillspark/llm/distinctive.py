@@ -39,20 +39,25 @@ def _scored(t: DataFrame, prior: float) -> DataFrame:
 
 def index_distinctiveness(index: DataFrame, prior: float = 500.0) -> DataFrame:
     """``distinctiveness(postings(index))``, but postings stay in their maps until they are scored: copied rows are
-    dropped as whole maps, a term's sums come from its maps, a page's sums are aggregated before they are shuffled, and
-    the sums join the postings by broadcast as long as a count shows them to be few. Where some page stands in several
-    segments its postings are compared one by one instead."""
-    kept = index.where(F.col("term").isNotNull() & F.col("postings").isNotNull()).select("segment", "term", F.map_filter("postings", lambda _, n: n > 0).alias("postings"))
-    one = materialize(kept.groupBy("segment", "term").agg(F.max_by("postings", F.size("postings")).alias("postings")))
-    flat = one.select("segment", "term", F.explode("postings").alias("doc_id", "tf"))
-    docs = materialize(flat.groupBy("doc_id").agg(F.sum("tf").cast("double").alias("__n"), F.min("segment").alias("__a"), F.max("segment").alias("__b")))
-    if docs.where("NOT __a <=> __b").limit(1).count():
-        return distinctiveness(postings(index), prior)
-    sums = F.aggregate(F.map_values("postings"), F.lit(0).cast("long"), lambda a, n: a + n)
-    terms = one.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.sum(sums).cast("double").alias("__w"))
+    dropped as whole maps, sums of terms and pages are aggregated before they are shuffled, and join the postings by
+    broadcast as long as a count shows them to be few.
+
+    Only pages that several segments hold, or that stand in different maps of one (segment, term), can have a posting
+    twice. Their postings, and no others, are brought together by (term, page), where the largest count stays."""
+    kept = index.where(F.col("term").isNotNull() & F.col("postings").isNotNull())
+    entries = F.array_sort(F.map_entries(F.map_filter("postings", lambda _, n: n > 0)))
+    maps = materialize(kept.select("segment", "term", entries.alias("e")).groupBy("segment", "term", "e").agg(F.lit(1).alias("__1")).drop("__1"))
+    several = maps.groupBy("segment", "term").count().where("count > 1").select(F.col("segment").alias("__s"), F.col("term").alias("__t"), F.lit(True).alias("__several"))
+    one = maps.join(broadcast_if_small(several), F.col("segment").eqNullSafe(F.col("__s")) & (F.col("term") == F.col("__t")), "left").select("segment", "term", F.explode("e").alias("p"), "__several")
+    seen = materialize(one.groupBy(F.col("p.key").alias("doc_id")).agg(F.min("segment").alias("__a"), F.max("segment").alias("__b"), F.count_if(F.col("segment").isNull()).alias("__null"), F.count("*").alias("__all"), F.max("__several").alias("__several")))
+    twice = broadcast_if_small(seen.where("NOT __a <=> __b OR __null NOT IN (0, __all) OR __several").select("doc_id"))
+    flat = maps.select("term", F.explode("e").alias("p")).select("term", F.col("p.key").alias("doc_id"), F.col("p.value").alias("tf"))
+    again = flat.join(twice, "doc_id", "left_semi").groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
+    posts = flat.join(twice, "doc_id", "left_anti").unionByName(again).withColumn("tf", F.col("tf").cast("double"))
+    terms = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("__w"))
+    docs = materialize(posts.groupBy("doc_id").agg(F.sum("tf").alias("__n")))
     total = docs.agg(F.count("*").alias("n_docs"), F.sum("__n").alias("__all"))
-    counted = one.join(broadcast_if_small(terms), "term").select("term", "df", "__w", F.explode("postings").alias("doc_id", "tf")).withColumn("tf", F.col("tf").cast("double"))
-    return _scored(counted.join(broadcast_if_small(docs.select("doc_id", "__n")), "doc_id").crossJoin(F.broadcast(total)), prior)  # one row
+    return _scored(posts.join(broadcast_if_small(materialize(terms)), "term").join(broadcast_if_small(docs), "doc_id").crossJoin(F.broadcast(total)), prior)  # one row
 
 
 def top_term(scored: DataFrame, by: str = "weight") -> DataFrame:

@@ -77,6 +77,10 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "term", "tf", "df", "n_docs", F.round("weight", 4).alias("weight"), F.round("z", 4).alias("z"))
 
 
+def p7_top_z(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.top_term(distinctive.index_distinctiveness(table(spark, d, "index_terms")).withColumn("z", F.round("z", 9)), by="z").select("doc_id", "term")
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
@@ -107,7 +111,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
@@ -119,6 +123,11 @@ SQL = {
     "p7_found": _POSTINGS + """,
   s AS (SELECT doc_id, term, tf * ln(n_docs::DOUBLE / df) AS w FROM p JOIN t USING (term), g)
   SELECT doc_id, term FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) = 1""",
+    "p7_top_z": _POSTINGS + """,
+  x AS (SELECT doc_id, term, tf, w, n, total, 500.0::DOUBLE * w / total AS a FROM p JOIN t USING (term) JOIN d USING (doc_id), g),
+  s AS (SELECT doc_id, term,
+    round((ln((tf + a) / (n + 500.0::DOUBLE - tf - a)) - ln((w - tf + a) / (total - n + 500.0::DOUBLE - w + tf - a))) / sqrt(1 / (tf + a) + 1 / (w - tf + a)), 9) AS z FROM x)
+  SELECT doc_id, term FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY z DESC, term) = 1""",
     "p7_scores": _POSTINGS + """,
   x AS (SELECT doc_id, term, tf, df, n_docs, w, n, total, 500.0::DOUBLE * w / total AS a FROM p JOIN t USING (term) JOIN d USING (doc_id), g)
   SELECT doc_id, term, tf, df, n_docs, round(tf * ln(n_docs::DOUBLE / df), 4) AS weight,

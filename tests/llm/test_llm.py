@@ -321,6 +321,12 @@ def test_distinctive(spark):
     assert got == {("a", "x"): (2, 3, 4), ("b", "x"): (1, 3, 4), ("a", "y"): (1, 1, 4), ("c", "x"): (5, 3, 4), ("c", "z"): (1, 2, 4), ("d", "z"): (1, 2, 4)}
     same = distinctive.index_distinctiveness(df)  # pages in several segments
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, s.collect()))
+    maps = [(0, "x", {"a": 2, "b": 1}), (0, "x", {"a": 3}), (0, "x", {"c": 1}), (0, "y", {"a": 1, "f": 2}), (None, "y", {"f": 5}), (None, "y", {"g": 1}), (2, "w", {"h": 3})]
+    differing = spark.createDataFrame(maps, "segment int, term string, postings map<string,int>")  # rows of one (segment, term) that are no copies
+    two = sorted(map(tuple, distinctive.index_distinctiveness(differing).collect()))
+    assert two == sorted(map(tuple, distinctive.distinctiveness(distinctive.postings(differing)).collect()))
+    assert {r[:3] for r in two} == {("a", "x", 3), ("b", "x", 1), ("c", "x", 1), ("a", "y", 1), ("f", "y", 5), ("g", "y", 1), ("h", "w", 3)}
+    assert {r["doc_id"]: r["term"] for r in distinctive.top_term(distinctive.index_distinctiveness(differing), by="z").collect()}["a"] == "x"
     apart = df.where("segment = 0 OR term = 'z' AND 1 = 0 OR segment IS NULL").unionByName(spark.createDataFrame([(None, "x", {"e": 4}, 1)], df.schema))
     one, two = distinctive.index_distinctiveness(apart), distinctive.distinctiveness(distinctive.postings(apart))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == 4
