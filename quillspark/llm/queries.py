@@ -49,7 +49,7 @@ def p4_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df"))
+    won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df"), ("recency",))  # by its definition the latest usable value
     return won.where("usable").select("name_norm", "field", F.col("record").alias("wiki_id"))
 
 

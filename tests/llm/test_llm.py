@@ -302,6 +302,51 @@ def test_survivors(spark):
     assert survivor.survivors(df.limit(0), "k", "rec", {"value": "ok"}, "at", "trust").count() == 0
 
 
+def test_layers_decide(spark):
+    # (key, entity, record, bio, height, day, trust): A beats C, D beats neither and isn't beaten
+    a, c, d, e = (1, 10, None, "hA", 24, 5), (2, 11, "bC", None, 22, 0), (3, 12, "bD", "hD", 19, 9), (4, 13, None, None, 30, 7)
+    rows = [("acd", *r) for r in (a, c, d)] + [("ac", *r) for r in (a, c)] + [("e", *e), ("e", 5, 14, "bF", None, 20, 6), ("e", 6, 15, "bG", None, 21, 1)]
+    df = spark.createDataFrame(rows, "k string, entity int, rec int, bio string, height string, day int, trust int").withColumn("at", F.timestamp_seconds("day")).withColumn("b", F.col("bio").isNotNull()).withColumn("h", F.col("height").isNotNull())
+
+    def run(*dimensions):
+        got = survivor.survivors(df, "k", "rec", {"bio": "b", "height": "h"}, "at", "trust", dimensions=dimensions or survivor.DIMENSIONS).collect()
+        return {(r["k"], r["field"]): (r["value"], r["layer"]) for r in got if r["usable"]}
+
+    whole = run()
+    assert whole["acd", "bio"] == ("bD", 1)  # not the later bC, whose record is beaten by A
+    assert whole["acd", "height"] == ("hA", 1) and whole["ac", "height"] == ("hA", 1)
+    assert whole["ac", "bio"] == ("bC", 2)  # the skyline has no bio
+    assert whole["e", "bio"] == ("bG", 1) and ("e", "height") not in whole
+    latest = run("recency")
+    assert latest["acd", "bio"] == ("bC", 2) and latest["e", "bio"] == ("bG", 2) and latest["acd", "height"] == ("hA", 1)
+
+
+def test_layers_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(f"k{rnd.randint(0, 9)}", i, i, rnd.choice([None, f"v{i}"]), rnd.choice([None, f"w{i}"]), rnd.randint(1, 6), rnd.randint(0, 3)) for i in range(160)]
+    df = spark.createDataFrame(rows, "k string, entity int, rec int, x string, y string, day int, trust int").withColumn("at", F.timestamp_seconds("day")).withColumn("a", F.col("x").isNotNull()).withColumn("b", F.col("y").isNotNull())
+    got = {(r["k"], r["field"]): (r["record"], r["usable"], r["layer"]) for r in survivor.survivors(df, "k", "rec", {"x": "a", "y": "b"}, "at", "trust").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        best = {}
+        for r in rows:
+            if r[0] == k:
+                c = (r[3] is not None, r[4] is not None, r[6])
+                best[c] = max(best.get(c, r), r, key=lambda r: (r[5], -r[2]))
+        left, layer, layers = list(best.values()), 0, []
+        point = lambda r: ((r[3] is not None) + (r[4] is not None), r[5], r[6])
+        while left:
+            layer += 1
+            top = [r for r in left if not any(point(q) != point(r) and all(x >= y for x, y in zip(point(q), point(r))) for q in left)]
+            layers.append(top)
+            left = [r for r in left if r not in top]
+        for f, at in (("x", 3), ("y", 4)):
+            n = next((n for n, rs in enumerate(layers) if any(r[at] is not None for r in rs)), None)
+            own = layers[0] if n is None else [r for r in layers[n] if r[at] is not None]
+            want[k, f] = (max(own, key=lambda r: (r[5], r[6], -r[2]))[2], n is not None, 1 if n is None else n + 1)
+    assert got == want
+
+
 def test_wiki_survivors(spark):
     ok = "She rowed for ten years and won two medals."
     e = [("a  b", 1, 10, ok, "180 cm", []), ("a b ", 2, 11, ok + " Then", "tall", ["u"]), ("a b", 3, 12, "TBC", "1.70", []), ("a b", 3, 12, "TBC", "1.70", []), (" ", 4, 10, ok, "1.80", []), (" ", 5, 10, ok, "1.80", []), ("c", 6, None, None, None, None), ("c", 7, None, None, None, None)]
