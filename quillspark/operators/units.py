@@ -1,8 +1,8 @@
 """Quantities recorded in different units: a hidden Markov model with the unit as hidden state.
 
-Two forms share one Viterbi kernel. ``decode_text`` reads measures out of free text; the measures of one text are
-the series of one device. ``decode_series`` decodes long series of readings per device; a device may hold any share of
-all rows, since series are cut by range and joined again by max-plus transfer matrices.
+Two forms share one model. ``decode_series`` decodes the readings of each device as one series, of any length: series are
+cut by range and joined again by max-plus transfer matrices. Readings may be grouped in entries, as the measures of one
+text: ``series_heights`` decodes the texts of a source so. ``decode_text`` decodes each text alone.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -27,7 +28,8 @@ OTHER = "other"
 @dataclass(frozen=True)
 class UnitModel:
     """``factors``: unit -> size in canonical units. ``mean``, ``spread``: level of the quantity, spread on a log scale.
-    ``jump``: spread of the log level between neighbouring readings. Costs are negative log probabilities."""
+    ``jump``: spread of the log level between neighbouring readings; between readings of different entries, which are of
+    different things and often of different hands, the ``entry_`` values hold. Costs are negative log probabilities."""
 
     factors: dict = field(default_factory=lambda: {"m": Fraction(100), "cm": Fraction(1), "mm": Fraction(1, 10), "ft": Fraction(3048, 100), "in": Fraction(254, 100)})
     mean: float = 173.0
@@ -38,6 +40,10 @@ class UnitModel:
     off_level: float = 7.0
     switch: float = 0.7
     most_jump: float = 5.0
+    entry_jump: float = 0.1
+    entry_switch: float = 0.1
+    entry_most_jump: float = 1.0
+    entry_other: float = 0.3
 
     @property
     def states(self) -> list[str]:
@@ -173,11 +179,100 @@ class _Kernel:
             rows[i] = (self.move(values[i], values[i + 1]) + (self.emit(values[i + 1], hints[i + 1]) + rows[i + 1])[None, :]).max(1)
         return rows
 
+    def emissions(self, values: np.ndarray, hints: list) -> np.ndarray:
+        """``emit`` of many readings at once, readings x states."""
+        m, k = self.m, len(self.states)
+        at = np.array([self.states.index(h) if h in self.states else -1 for h in hints], dtype=int)
+        out = np.full((len(values), k), -1e9)
+        out[:, -1] = -m.off_level
+        real = (values > 0) & np.isfinite(values)
+        out[real, :-1] = -((np.log(values[real])[:, None] + self.logf - math.log(m.mean)) ** 2) / (2 * m.spread**2)
+        hinted = at >= 0
+        out[hinted, :-1] -= np.where(np.arange(k - 1) == at[hinted, None], 0.0, m.wrong_hint)
+        out[hinted, -1] -= np.where(at[hinted] == k - 1, 0.0, 1.0)
+        out[~hinted] -= m.no_hint
+        return out
+
+    def moves(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """``move`` between each reading of ``a`` and of ``b``; ``apart``: they are of different entries, ``other``: of different
+        devices, which have nothing to do with each other."""
+        m, k = self.m, len(self.states)
+        loose = np.full((k, k), m.entry_switch)
+        np.fill_diagonal(loose, 0.0)
+        loose[-1, :] = loose[:, -1] = m.entry_other
+        out = np.where(apart[:, None, None], -loose, -self.base)
+        both = (a > 0) & (b > 0)
+        jump = (np.log(b[both])[:, None, None] + self.logf) - (np.log(a[both])[:, None, None] + self.logf[:, None])
+        wide = apart[both, None, None]
+        out[both, :-1, :-1] -= np.minimum(jump**2 / (2 * np.where(wide, m.entry_jump, m.jump) ** 2), np.where(wide, m.entry_most_jump, m.most_jump))
+        out[other] = 0.0
+        return out
+
     def best(self, values: list[float], hints: list) -> list[str]:
         score = self.forward(values, hints) + self.backward(values, hints)
         return [self.states[i] for i in score.argmax(1)]
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus products of matrices."""
+    return (a[..., :, :, None] + b[..., None, :, :]).max(-2)
+
+
+def _product(steps: np.ndarray) -> np.ndarray:
+    """The max-plus product of a row of matrices, by halves."""
+    k = steps.shape[-1]
+    if not len(steps):
+        return np.where(np.eye(k) > 0, 0.0, -np.inf)
+    while len(steps) > 1:
+        odd = steps[len(steps) // 2 * 2 :]
+        steps = np.concatenate([_times(steps[0 : len(steps) // 2 * 2 : 2], steps[1::2]), odd])
+    return steps[0]
+
+
+def _chain(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """start, start x steps[0], start x steps[0] x steps[1] and so on, worked out for many stretches at once."""
+    n, k = len(steps), len(start)
+    length = max(1, math.isqrt(n))
+    many = -(-n // length) if n else 0
+    pad = np.broadcast_to(np.where(np.eye(k) > 0, 0.0, -np.inf), (many * length - n, k, k))
+    parts = np.concatenate([steps, pad]).reshape(many, length, k, k)
+    whole = parts[:, 0] if many else parts.reshape(0, k, k)
+    for j in range(1, length):
+        whole = _times(whole, parts[:, j])
+    heads = [start]
+    for w in whole[:-1]:
+        heads.append((heads[-1][:, None] + w).max(0))
+    at, rows = np.array(heads), []
+    for j in range(length):
+        at = (at[:, :, None] + parts[:, j]).max(1) if many else at
+        rows.append(at)
+    return np.concatenate([start[None], np.stack(rows, 1).reshape(-1, k)[:n]]) if many else start[None]
+
+
+#: The numbers of a text with the unit beside each and, for each unit of the model, the whole canonical number.
+_READINGS = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("hint", T.StringType()), T.StructField("rounded", T.ArrayType(T.LongType()))]))
+
+
+def readings(df: DataFrame, text: str, model: UnitModel = HEIGHT) -> DataFrame:
+    """One row a number of the text, in text order: adds ``pos``, ``value``, ``hint`` (the unit beside it, '' for none) and
+    ``rounded``, for each unit of the model the canonical number in halves up, worked out in exact fractions (NULL above
+    10^12). NULL, empty and number-free texts give no rows; existing columns of these names are replaced."""
+
+    @F.pandas_udf(_READINGS)
+    def found(texts: pd.Series) -> pd.Series:
+        known: dict = {}
+
+        def one(s):
+            if s not in known:
+                known[s] = [(float(v), u, [math.floor(v * f + Fraction(1, 2)) if v < 10**12 else None for f in model.factors.values()]) for v, u in measures(s) if v < 10**300]
+            return known[s]
+
+        return texts.map(one, na_action=None)
+
+    rest = [c for c in df.columns if c not in ("pos", "value", "hint", "rounded")]
+    return df.select(*rest, F.posexplode(found(F.col(text).cast("string"))).alias("pos", "__r")).select(*rest, "pos", "__r.value", "__r.hint", "__r.rounded")
+
+
 def decode_text(df: DataFrame, text: str, out: str = "measures", model: UnitModel = HEIGHT) -> DataFrame:
     """Add ``out``, an array of (value, unit, canonical, rounded) with one entry a measure of the text, in text order.
 
@@ -202,76 +297,97 @@ def decode_text(df: DataFrame, text: str, out: str = "measures", model: UnitMode
     return df.withColumn(out, decode(F.col(text).cast("string")))
 
 
-def decode_series(df: DataFrame, device: str, order: str, value: str, hint: str | None = None, model: UnitModel = HEIGHT) -> DataFrame:
+#: Readings a task of ``decode_series`` holds at once.
+TASK_ROWS = 100_000
+
+
+def decode_series(df: DataFrame, device: str, order: str | Sequence[str], value: str, hint: str | None = None, model: UnitModel = HEIGHT, entry: str | None = None) -> DataFrame:
     """Decode the unit of every reading: adds ``unit`` and ``canonical`` (NULL for ``other``) to each row.
 
-    One hidden Markov model a device, over its readings by ``order``. Rows are range-partitioned by (device, order), so
-    a device of any size spreads over tasks; each task sends the max-plus transfer matrix of its first and last run
-    (two rows a task) and gets back the best score that reaches it from either side. NULL devices form one device, NULL
-    or non-positive values decode to ``other``, rows equal in order keep an arbitrary order. Nothing is dropped."""
-    src = df.withColumn("__v", F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).withColumn("__h", F.col(hint).cast("string") if hint else F.lit(None).cast("string")).withColumn("__d", F.coalesce(F.col(device).cast("string"), F.lit("\u0000")))
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = src.repartitionByRange(n, "__d", order).sortWithinPartitions("__d", order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    One hidden Markov model a device, over its readings by ``order``; neighbours of different ``entry``, if given, are
+    tied more loosely. Rows are range-partitioned by (device, order), ties by their place in the input, into as many
+    tasks as ``TASK_ROWS`` asks for, so a device of any size spreads over tasks and none grows with the data; each task
+    sends one max-plus transfer matrix and gets back the best scores that reach it from either side. NULL devices form
+    one device, NULL or non-positive values decode to ``other``, rows equal in order keep an arbitrary order. Nothing is
+    dropped; existing columns ``unit`` and ``canonical`` are replaced."""
+    by = [order] if isinstance(order, str) else list(order)
+    src = df.drop("unit", "canonical").withColumns({
+        "__v": F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))), "__h": F.col(hint).cast("string") if hint else F.lit(None).cast("string"), "__d": F.coalesce(F.col(device).cast("string"), F.lit("\u0000")),
+        "__e": F.coalesce(F.col(entry).cast("string"), F.lit("")) if entry else F.lit(""), "__t": F.monotonically_increasing_id(),
+    })
+    tasks = max(1, -(-src.count() // TASK_ROWS))
+    cut = src.repartitionByRange(tasks, "__d", *by, "__t").sortWithinPartitions("__d", *by, "__t").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).drop("__t")
     cut = materialize(cut)  # the cuts stay the same for both passes
     kernel = _Kernel(model)
 
-    def runs(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("__i", kind="stable")
-        start = (pdf["__d"] != pdf["__d"].shift()).cumsum()
-        return [g for _, g in pdf.groupby(start, sort=False)]
+    def steps(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v, d, e = pdf["__v"].fillna(float("nan")).to_numpy(dtype=float), pdf["__d"].to_numpy(), pdf["__e"].to_numpy()
+        first = kernel.emissions(v, pdf["__h"].tolist())
+        return v, first, kernel.moves(v[:-1], v[1:], e[1:] != e[:-1], d[1:] != d[:-1]) + first[1:, None, :]
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = runs(pdf)
-        rows = []
-        for j in sorted({0, len(parts) - 1}):
-            g = parts[j]
-            v, h, k = g["__v"].tolist(), g["__h"].tolist(), len(kernel.states)
-            mat = np.array([np.where(np.arange(k) == s, 0.0, -1e9) for s in range(k)]) + kernel.emit(v[0], h[0])[None, :]
-            for a, b, x in zip(v, v[1:], h[1:]):
-                mat = (mat[:, :, None] + kernel.move(a, b)[None]).max(1) + kernel.emit(b, x)[None, :]
-            rows.append((int(g["__p"].iloc[0]), j == 0, j == len(parts) - 1, g["__d"].iloc[0], v[0], v[-1], mat.ravel().tolist()))
-        return pd.DataFrame(rows, columns=["p", "first", "last", "d", "v0", "v1", "mat"])
-
-    got = sorted((r.asDict() for r in cut.groupBy("__p").applyInPandas(ends, "p int, first boolean, last boolean, d string, v0 double, v1 double, mat array<double>").collect()), key=lambda r: (r["p"], not r["first"]))
+        pdf = pdf.sort_values("__i", kind="stable")
+        v, first, s = steps(pdf)
+        row = [int(pdf["__p"].iloc[0]), *pdf["__d"].iloc[[0, -1]], *pdf["__e"].iloc[[0, -1]], v[0], v[-1], (first[0][:, None] + _product(s)).ravel().tolist()]
+        return pd.DataFrame([row], columns=["p", "d0", "d1", "e0", "e1", "v0", "v1", "mat"])
+
+    need = cut.select("__p", "__i", "__v", "__h", "__d", "__e")
+    got = sorted((r.asDict() for r in need.groupBy("__p").applyInPandas(ends, "p int, d0 string, d1 string, e0 string, e1 string, v0 double, v1 double, mat array<double>").collect()), key=lambda r: r["p"])
     k = len(kernel.states)
     for r in got:
         r["mat"] = np.array(r["mat"]).reshape(k, k)
         r.update({x: float("nan") if r[x] is None else r[x] for x in ("v0", "v1")})
-    fore: dict[int, tuple] = {}
-    back: dict[int, tuple] = {}
-    state = None  # (device, scores of its last reading, that value)
-    for r in got:
-        if r["first"] and state and state[0] == r["d"]:
-            fore[r["p"]] = (state[1], state[2])
-            scores = ((state[1][:, None] + kernel.move(state[2], r["v0"])).max(0)[:, None] + r["mat"]).max(0)
-        else:
-            scores = r["mat"].max(0)
-        if r["last"]:
-            state = (r["d"], scores, r["v1"])
-    state = None  # (device, scores of its first reading and on, that value)
-    for r in reversed(got):
-        if r["last"] and state and state[0] == r["d"]:
-            back[r["p"]] = (state[1], state[2])
-            scores = (r["mat"] + (kernel.move(r["v1"], state[2]) + state[1][None, :]).max(1)[None, :]).max(1)
-        else:
-            scores = r["mat"].max(1)
-        if r["first"]:
-            state = (r["d"], scores, r["v0"])
+    between = [kernel.moves(np.array([a["v1"]]), np.array([b["v0"]]), np.array([a["e1"] != b["e0"]]), np.array([a["d1"] != b["d0"]]))[0] for a, b in zip(got, got[1:])]
+    fore, back = {}, {}
+    reach = np.zeros(k)
+    for i, r in enumerate(got):  # scores that reach the first reading of each task, before its own
+        fore[r["p"]] = reach
+        if i < len(between):
+            out = (reach[:, None] + r["mat"]).max(0)
+            reach = (out[:, None] + between[i]).max(0)
+            reach = reach - reach.max()
+    reach = np.zeros(k)
+    for i in range(len(got) - 1, -1, -1):  # scores that the last reading of each task leads to
+        back[got[i]["p"]] = reach
+        if i:
+            into = (got[i]["mat"] + reach[None, :]).max(1)
+            reach = (between[i - 1] + into[None, :]).max(1)
+            reach = reach - reach.max()
     schema = T.StructType([*cut.schema.fields, T.StructField("unit", T.StringType()), T.StructField("canonical", T.DoubleType())])
-    factors = {u: float(f) for u, f in model.factors.items()}
+    factor = np.array([*map(float, model.factors.values()), float("nan")])
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, out, p = runs(pdf), [], int(pdf["__p"].iloc[0])
-        for j, g in enumerate(parts):
-            v, h = g["__v"].fillna(float("nan")).tolist(), g["__h"].tolist()
-            a0, av = fore.get(p, (None, None)) if j == 0 else (None, None)
-            b0, bv = back.get(p, (None, None)) if j == len(parts) - 1 else (None, None)
-            score = kernel.forward(v, h, a0, av) + kernel.backward(v, h, b0, (bv,) if b0 is not None else None)
-            units = [kernel.states[i] for i in score.argmax(1)]
-            out.append(g.assign(unit=units, canonical=[x * factors[u] if u in factors else None for x, u in zip(v, units)]))
-        return pd.concat(out)
+        pdf = pdf.sort_values("__i", kind="stable")
+        p = int(pdf["__p"].iloc[0])
+        v, first, s = steps(pdf)
+        score = _chain(s, first[0] + fore[p]) + _chain(s[::-1].transpose(0, 2, 1), back[p])[::-1]
+        best = score.argmax(1)
+        canonical = v * factor[best]
+        return pdf.assign(unit=[kernel.states[i] for i in best], canonical=pd.Series(np.where(np.isnan(canonical), None, canonical), index=pdf.index, dtype=object))
 
-    return cut.groupBy("__p").applyInPandas(decode, schema).drop("__v", "__h", "__d", "__p", "__i")
+    return cut.groupBy("__p").applyInPandas(decode, schema).drop("__v", "__h", "__d", "__e", "__p", "__i")
+
+
+def series_heights(df: DataFrame, entry: str, text: str = "wiki_height", device: str = "wiki_sport", low: int = 120, high: int = 230, model: UnitModel = HEIGHT) -> DataFrame:
+    """(``entry``, ``text``, height_cm): entries whose text states a body height, decoded in the series of their ``device``.
+
+    The measures of all texts of a device, in order of entry and text, are one series; its level tells the unit where the
+    text doesn't. Which of a text's measures is the height follows ``heights``. Copied rows count once; texts without a
+    height give no row; NULL devices are one device."""
+    r = readings(df.select(entry, text, device).distinct(), text, model).withColumn("__entry", F.concat_ws("\u0001", F.col(entry).cast("string"), F.col(text)))
+    done = decode_series(r, device, [entry, text, "pos"], "value", "hint", model, "__entry")
+    units = list(model.factors)
+    rounded = F.coalesce(*[F.when(F.col("unit") == u, F.get("rounded", F.lit(i))) for i, u in enumerate(units)])
+    m = done.groupBy(entry, text, device).agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "canonical", rounded.alias("rounded")))).alias("__m"))  # one text's measures
+    return _stated(m, low, high).where("height_cm IS NOT NULL").select(entry, text, "height_cm").distinct()
+
+
+def _stated(df: DataFrame, low: int, high: int) -> DataFrame:
+    """``height_cm`` from the decoded measures ``__m`` of a text, which are dropped."""
+    ok = df.withColumn("__m", F.filter("__m", lambda x: x["rounded"].between(low, high)))
+    pick = F.coalesce(F.get(F.filter("__m", lambda x: x["unit"].isin("m", "cm", "mm")), F.lit(0))["rounded"], F.get("__m", F.lit(0))["rounded"])
+    agree = F.array_max(F.transform("__m", lambda x: x["canonical"])) - F.array_min(F.transform("__m", lambda x: x["canonical"])) <= 2.0
+    return ok.withColumn("height_cm", F.when(agree, pick)).drop("__m")
 
 
 def heights(df: DataFrame, text: str = "wiki_height", low: int = 120, high: int = 230) -> DataFrame:
@@ -279,7 +395,4 @@ def heights(df: DataFrame, text: str = "wiki_height", low: int = 120, high: int
 
     Measures come from ``decode_text``; metric ones go first. Several heights in one text must agree within 2 cm,
     otherwise the result is NULL, as it is for NULL, empty and placeholder texts, weights and other lengths."""
-    ok = decode_text(df, text, "__m").withColumn("__m", F.filter("__m", lambda x: x["rounded"].between(low, high)))
-    pick = F.coalesce(F.get(F.filter("__m", lambda x: x["unit"].isin("m", "cm", "mm")), F.lit(0))["rounded"], F.get("__m", F.lit(0))["rounded"])
-    agree = F.array_max(F.transform("__m", lambda x: x["canonical"])) - F.array_min(F.transform("__m", lambda x: x["canonical"])) <= 2.0
-    return ok.withColumn("height_cm", F.when(agree, pick)).drop("__m")
+    return _stated(decode_text(df, text, "__m"), low, high)
