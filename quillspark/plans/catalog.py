@@ -281,273 +281,6 @@ def p6_series(spark, d):
     return units.decode_series(r, "device", "at", "value", "hint", entry="wiki_id").select("device", "at", "unit", F.round("canonical", 2).alias("canonical"))
 
 
-QUERIES = {
-    "attr_search_country": 'country:"great britain" gold>=1', "attr_search_sport": 'sport:ROWING silver>0 bronze<3', "attr_search_name": "maria",
-    "attr_search_medals": "gold>=1 silver=1 bronze<=2", "attr_search_mixed": "sport:judo country:chile anna",
-}
-FIELD_QUERIES = {
-    "multifield_search": "croatian rower swimming", "phrase_exact_search": '"Rowing" coach', "filtered_search": "canoe sprint gold>=1 born>1980",
-    "filter_only_search": "born<1990 participations>=2 silver>0", "phrase_filter_search": '"Kaukora 2010" sweden yob>=1985', "stored_fields": "judo germany",
-}
-
-
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
-
-
-def _index(spark, d, method="", keep=True) -> index.Index:
-    return index.build_index(docs(spark, d), method=method, keep=keep)
-
-
-def tokenize_docs(spark, d):
-    return index.tokenized(docs(spark, d)).select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
-
-
-def query_tokens(spark, d):
-    q = table(spark, d, "heldout_items").select("item_id", tx.query_tokens(F.col("text")).alias("t"))
-    return q.select("item_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
-
-
-def postings(spark, d):
-    return _index(spark, d, keep=False).postings
-
-
-def doc_freq(spark, d):
-    return index.index_of(index.tokenized(docs(spark, d))).postings.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def doc_stats(spark, d):
-    return _index(spark, d, keep=False).docs
-
-
-def vocab_size(spark, d):
-    i = _index(spark, d)
-    return i.terms.agg(F.count("*").alias("n_terms")).crossJoin(i.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")))
-
-
-def _idf(method):
-    return lambda spark, d: _index(spark, d, method).terms.select("term", F.round("idf", 6).alias("idf"))
-
-
-def _topk(rank, method):
-    return lambda spark, d: search.search_text(_index(spark, d, method), QUERY, rank, 10).select("rank", "doc_id", "score")
-
-
-def multi_query_topk(spark, d):
-    return search.search_many(_index(spark, d, "bm25"), table(spark, d, "heldout_items"), "item_id", "text", k=5).select("item_id", "rank", "doc_id", "score")
-
-
-def fold_equality_filter(spark, d):
-    a = table(spark, d, "athletes").where(search.same_folded(F.col("country"), "COTE D'IVOIRE"))
-    return a.select("ath_id", "country").distinct()
-
-
-def normalize_key(spark, d):
-    return table(spark, d, "athletes").select("ath_id", tx.name_key(F.col("name")).alias("k"), tx.name_key(F.col("name"), True).alias("k1")).distinct()
-
-
-def normalize_text(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(tx.text_key(F.col("text"))).alias("text_md5"))
-
-
-def pages(spark, d) -> DataFrame:
-    return table(spark, d, "lookups").select("doc_id", "url", "raw_html").where("raw_html IS NOT NULL").dropDuplicates(["doc_id"])
-
-
-def html_strip_text(spark, d):
-    return pages(spark, d).select("doc_id", F.md5(mk.plain(F.col("raw_html"))).alias("text_md5"))
-
-
-def html_unescaped(spark, d):
-    return pages(spark, d).select("doc_id", F.md5(mk.plain_unescaped(F.col("raw_html"))).alias("text_md5"))
-
-
-def html_junk_removed(spark, d):
-    return pages(spark, d).select("doc_id", F.md5(mk.without_junk(F.col("raw_html"))).alias("html_md5"))
-
-
-def html_blocks(spark, d):
-    b = pages(spark, d).select("doc_id", mk.text_blocks(mk.without_junk(F.col("raw_html")), 30).alias("b"))
-    return b.select("doc_id", F.size("b").alias("n"), F.md5(F.array_join("b", "\n\n")).alias("text_md5"))
-
-
-def html_paragraph_fallback(spark, d):
-    return pages(spark, d).select("doc_id", F.md5(mk.paragraphs(mk.without_junk(F.col("raw_html")))).alias("text_md5"))
-
-
-def html_fallback_cascade(spark, d):
-    return entity.extract_articles(pages(spark, d)).select("doc_id", "url", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.md5("text_norm").alias("norm_md5"))
-
-
-def _entity_pages(spark, d) -> DataFrame:
-    """Entity pages as a site would show them, made of the athletes."""
-    a = table(spark, d, "athletes").dropDuplicates(["ath_id"])
-    shown = [F.concat(F.lit(f'<div class="x" data-cy="{m}"> <span class="t">'), F.regexp_replace(F.col(c), "[<>]", " "), F.lit("</span></div>")) for c, m in (("country", "nocs"), ("sport", "disciplines"))]
-    spans = [F.concat(F.lit(f"<p><span data-cy='{m}'><b>"), F.col(c), F.lit("</b></span></p>")) for c, m in (("participations", "games-participations"), ("first_games", "first-olympic-game"), ("yob", "year-of-birth"))]
-    medals = [F.when(F.col(c.lower()).isNotNull(), F.concat(F.lit(f'<div data-cy="medal-module" title="{c}"><span data-cy="ocs-text-module" class="n">'), F.col(c.lower()).cast("string"), F.lit("</span></div>"))) for c in mk.MEDALS]
-    head = F.concat(F.lit('<div data-cy="display-name"><h1 class="big">'), F.col("name"), F.lit("</h1></div>"))
-    return a.select("ath_id", "url", F.concat_ws("\n", head, *shown, *spans, *medals).alias("raw_html"))
-
-
-def entity_extract(spark, d):
-    e = entity.extract_entities(_entity_pages(spark, d))
-    return e.select("athlete_url", "country", "sport", "participations", "first_games", "yob")
-
-
-def medal_array_sum(spark, d):
-    return entity.extract_entities(_entity_pages(spark, d)).select("athlete_url", "gold", "silver", "bronze")
-
-
-def link_explode(spark, d):
-    return pages(spark, d).select("doc_id", F.explode(mk.links(F.col("raw_html"))).alias("link"))
-
-
-def url_normalize(spark, d):
-    return table(spark, d, "metadata").select("log_id", ur.normalize(F.col("url")).alias("url")).distinct()
-
-
-def url_filter_tier(spark, d):
-    u = table(spark, d, "metadata").select(ur.normalize(F.col("url")).alias("url")).distinct()
-    return u.select("url", RULES.accepts(F.col("url")).alias("accepted"), RULES.tier(F.col("url")).alias("tier"))
-
-
-def doc_id_hash(spark, d):
-    return table(spark, d, "lookups").select("doc_id", ur.doc_id(F.col("url")).alias("hash")).distinct()
-
-
-def url_filename(spark, d):
-    return table(spark, d, "metadata").select("url", ur.filename(F.col("url")).alias("filename"), ur.file_suffix(F.concat(F.lit("/x/"), F.coalesce("file", F.lit("")))).alias("suffix")).distinct()
-
-
-def frontier_step(spark, d):
-    seen = table(spark, d, "lookups").select("url").distinct()
-    links = table(spark, d, "metadata").select(F.col("url").alias("link"), F.struct(F.col("log_id").alias("a"), F.lit(0).alias("b")).alias("seq"))
-    rules = ur.CrawlRules("arena-results.example", sections=("^(?:news|athletes)(?:/.*)?$",))
-    empty = spark.createDataFrame([], frontier.STATE)
-    return frontier.add(frontier.Frontier(empty, seen), links, rules, 50).pending.select("url", "tier", "seq")
-
-
-def substring_join(spark, d):
-    a = table(spark, d, "athletes").select(tx.name_key(F.col("name"), True).alias("name_norm")).distinct()
-    t = table(spark, d, "lookups").where("text IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "url", tx.text_key(F.col("text")).alias("text_norm"))
-    return entity.substring_join(t, a.where("length(name_norm) > 0"), "text_norm", "name_norm").select("doc_id", "url", "name_norm")
-
-
-def substring_collect(spark, d):
-    hits = substring_join(spark, d).withColumn("text", F.col("doc_id"))
-    return entity.collect_articles(hits, "name_norm").select("name_norm", F.size("lookup_urls").alias("n"), F.array_join("lookup_urls", " ").alias("urls"), F.array_join("lookup_texts", " ").alias("ids"))
-
-
-def entity_left_join(spark, d):
-    m = entity.live(readers.clean_metadata(table(spark, d, "metadata"))).select("log_id", "doc_id", "url").distinct()
-    files = table(spark, d, "lookups").select("doc_id", F.length("raw_html").cast("string").alias("size")).dropDuplicates(["doc_id"])
-    return m.join(files, "doc_id", "left").select("log_id", "doc_id", "size")
-
-
-def entity_merge(spark, d):
-    a = table(spark, d, "athletes").dropDuplicates(["ath_id"]).withColumn("name_norm", tx.name_key(F.col("name")))
-    w = table(spark, d, "wiki_df").dropDuplicates(["wiki_id"]).withColumn("name_norm", tx.name_key(mk.title_name(F.col("name"))))
-    return entity.merge(a.select("ath_id", "name_norm"), w).select("ath_id", "name_norm", "wiki_sport", "wiki_height")
-
-
-def url_lookup_join(spark, d):
-    ids = table(spark, d, "lookups").select("doc_id").distinct()
-    got = ids.join(quality.url_map(table(spark, d, "metadata")), "doc_id", "left")
-    return got.select("doc_id", F.coalesce("url", F.lit("")).alias("url"))
-
-
-def missing_semi(spark, d):
-    m = readers.article_ids(table(spark, d, "metadata")).distinct()
-    return m.join(table(spark, d, "lookups").select("doc_id"), "doc_id", "left_semi")
-
-
-def missing_anti(spark, d):
-    m = readers.article_ids(table(spark, d, "metadata")).distinct()
-    return m.join(table(spark, d, "lookups").select("doc_id"), "doc_id", "left_anti")
-
-
-def completeness_dedup(spark, d):
-    e = table(spark, d, "final_entities").select("name_norm", "entity_id", "wiki_id", *entity.WIKI_COLUMNS).distinct()
-    best = entity.best_per_key(e, "name_norm", entity.WIKI_COLUMNS, [F.length(F.coalesce("wiki_bio", F.lit(""))), -F.col("entity_id")])
-    return best.select("name_norm", "entity_id", entity.completeness(entity.WIKI_COLUMNS).alias("score"))
-
-
-def status_histogram(spark, d):
-    return quality.status_histogram(table(spark, d, "metadata"))
-
-
-def skip_reasons(spark, d):
-    m = table(spark, d, "metadata")
-    known = m.where("log_id % 2 = 0").select("file")
-    return quality.skip_reasons(m, known)
-
-
-def malformed_count(spark, d):
-    return quality.malformed_count(table(spark, d, "athletes"), ("country", "sport", "yob", "first_games"))
-
-
-def article_ids(spark, d):
-    return readers.article_ids(table(spark, d, "metadata"))
-
-
-def _attributes(q):
-    def run(spark, d):
-        a = table(spark, d, "athletes").dropDuplicates(["ath_id"])
-        return search.search_entities(a, q, "ath_id", 20).select("ath_id", "name", "score")
-
-    return run
-
-
-def range_filters(spark, d):
-    a = table(spark, d, "athletes").select("ath_id", "gold", "yob").distinct().select("ath_id", F.coalesce("gold", F.lit(0)).alias("i_gold"), F.coalesce(F.col("yob").try_cast("int"), F.lit(0)).alias("i_yob"))
-    cases = [("gold", op, 1) for op in (">", ">=", "<", "<=", "=", "==")] + [("yob", "<", 1990), ("yob", ">=", 1990)]
-    return a.agg(*[F.count_if(search.range_filter([to_range(*c)])).alias(f"c{i}") for i, c in enumerate(cases)])
-
-
-def _fields(q, k=100):
-    return lambda spark, d: search.search_fields(table(spark, d, "final_entities").drop("wiki_id"), q, "entity_id", k).select("doc_id", "score")
-
-
-def stored_fields(spark, d):
-    hits = search.search_fields(table(spark, d, "final_entities").drop("wiki_id"), FIELD_QUERIES["stored_fields"], "entity_id", 20)
-    return search.stored_fields(hits, ("name", "country", "sport", "gold", "wiki_sport")).select("doc_id", "fields")
-
-
-def result_projection(spark, d):
-    e = table(spark, d, "final_entities").dropDuplicates(["entity_id"]).withColumnRenamed("entity_id", "doc_id")
-    return search.result_view(e).select("doc_id", "name", "country", "sport", "gold", "bio", "links")
-
-
-def console_projection(spark, d):
-    return search.console_view(table(spark, d, "final_entities").dropDuplicates(["entity_id"]).withColumnRenamed("entity_id", "doc_id"))
-
-
-def _dump(spark, d) -> DataFrame:
-    w = table(spark, d, "wiki_df").dropDuplicates(["wiki_id"])
-    lines = [F.concat(F.lit(f"\n| {k} = "), F.regexp_replace(F.coalesce(c, F.lit("")), r"\n", " ")) for k, c in (("sport", "wiki_sport"), ("birth_place", "wiki_birth_place"), ("curling_club", "wiki_club"), ("height", "wiki_height"))]
-    return w.select("wiki_id", F.col("name").alias("title"), F.concat(F.lit("{{Infobox person"), *lines, F.lit("\n}}\n"), F.coalesce("wiki_bio", F.lit(""))).alias("text"))
-
-
-def infobox_extract(spark, d):
-    return entity.extract_wiki(_dump(spark, d)).select("name", *[c for c in entity.WIKI_COLUMNS if c != "wiki_bio"])
-
-
-def bio_extract(spark, d):
-    return entity.extract_wiki(_dump(spark, d)).select("name", "wiki_bio")
-
-
-def p6_found(spark, d):
-    return units.heights(table(spark, d, "wiki_df").select("wiki_id", "wiki_height")).where("height_cm IS NOT NULL").select("wiki_id", "height_cm").distinct()
-
-
-def p6_series(spark, d):
-    """Readings of all pages by sport, each in the order of its pages: a long series a device, some with most readings."""
-    w = table(spark, d, "wiki_df").select("wiki_id", "wiki_sport", "wiki_height").distinct()
-    m = units.decode_text(w, "wiki_height", "m").select("wiki_id", "wiki_sport", F.posexplode("m").alias("i", "m"))
-    r = m.select(F.coalesce("wiki_sport", F.lit("")).alias("device"), (F.col("wiki_id") * 16 + F.col("i")).alias("at"), F.col("m.value").alias("value"), F.when(F.col("m.unit") != "other", F.col("m.unit")).alias("hint"))
-    return units.decode_series(r, "device", "at", "value", "hint").select("device", "at", "unit", F.round("canonical", 2).alias("canonical"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
