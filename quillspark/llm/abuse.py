@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import confusables
@@ -23,12 +23,12 @@ DECAY = 0.75
 WORD_SPAN = 4
 WORD_DIMS = 1 << 16
 CHAR_DIMS = 32**3
-#: Bounds of the fitted sample: toxic and clean labelled documents (by hash of their id), sentences of clean documents in
-#: the first round (later rounds add those that are scored wrongly), and landmarks
+#: Bounds of the fitted sample: toxic and clean labelled documents (by hash of their id), their characters in all, which
+#: bound the sentences and so the memory and time of the fit whatever the length of documents, and landmarks
 #: with the sentences of either label that they are chosen from.
 LABELLED = 1500
 CLEAN = 2000
-NEGATIVES = 6000
+SAMPLE_CHARS = 6_000_000
 LANDMARKS = 440
 POOL = 2000
 ROUNDS = 3
@@ -309,15 +309,16 @@ def fit(documents: list[tuple[list[str], float]], terms: list[str], clean_weight
     return Model(v[:CHAR_DIMS], v[CHAR_DIMS:], b)
 
 
-def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED, clean: int = CLEAN, least_weight: float = 2) -> Model | None:
-    """Fit on at most ``limit`` toxic and ``clean`` clean labelled documents, the first by hash of their id. Copied ratings count once, a document's
-    label is the majority of its raters, ties and NULL ratings don't count. ``terms`` only mark which sentences start as positive; those
-    with a weight below ``least_weight`` or NULL aren't used."""
+def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED, clean: int = CLEAN, least_weight: float = 2, chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fit on at most ``limit`` toxic and ``clean`` clean labelled documents, the first by hash of their id, as far as they have ``chars``
+    characters in all. Copied ratings count once, a document's label is the majority of its raters, ties and NULL ratings don't count.
+    ``terms`` only mark which sentences start as positive; those with a weight below ``least_weight`` or NULL aren't used."""
     votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic", "rater", "rated_at").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     few = votes.where("y > 0.5").orderBy(*order).limit(limit).unionAll(votes.where("y < 0.5").orderBy(*order).limit(clean))
-    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL").dropDuplicates(["doc_id"])  # at most ``limit`` + ``clean`` rows
-    data = [(sentences(r["text"]), float(r["y"])) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+    one = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text"))  # at most ``limit`` + ``clean`` rows
+    rows = one.withColumn("__n", F.sum(F.length("text")).over(Window.orderBy(*order))).where(F.col("__n") <= chars).collect()
+    data = [(sentences(r["text"]), float(r["y"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
     words = [r["term"] for r in terms.where(F.col("term").isNotNull() & (F.col("weight") >= least_weight)).select("term").distinct().collect()] if terms is not None else []
     all_clean = votes.where("y < 0.5").count()
     return fit(data, sorted(words), max(1.0, all_clean / max(sum(v < 0.5 for _, v in data), 1)))

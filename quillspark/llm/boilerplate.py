@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bound of the fitted sample: pages, the first by hash of their id.
 SAMPLE = 1500
+#: Characters (text and markup) of the fitted sample at most; a bound of the driver's memory.
+SAMPLE_CHARS = 40_000_000
 TIE_NEAR, TIE_SAME, TIE_FAR = 0.5, 0.8, 0.1
 
 _TOKEN = re.compile(r"<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|([^<]+)", re.S)
@@ -112,7 +114,7 @@ class Classifier:
     def evidence(self, line: str) -> tuple[float, float, int]:
         ws = line_words(line)
         get = self.words.get
-        total = sum([get(w, 0.0) for w in ws]) + sum([get(a + " " + b, 0.0) for a, b in zip(ws, ws[1:])]) if len(ws) < 40 else sum([get(w, 0.0) for w in ws])
+        total = sum([get(w, 0.0) for w in ws]) + sum([get(a + " " + b, 0.0) for a, b in zip(ws, ws[1:])])
         return total / math.sqrt(len(ws) + 1), total / (len(ws) + 1), len(ws)
 
     def features(self, lines: list[str], spots: list) -> list[list[float]]:
@@ -261,12 +263,15 @@ def cut_page(odds: list[float], spots: list) -> list[bool]:
     return label
 
 
-def train(pages: DataFrame, doc_id: str = "doc_id", raw: str = "raw_html", text: str = "text", limit: int = SAMPLE) -> Classifier:
-    """Fit on at most ``limit`` pages that have markup, the first by hash of their id."""
-    few = pages.where(F.col(raw).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(doc_id).alias("h"), doc_id).distinct().orderBy("h", doc_id).limit(limit)
-    rows = pages.select(doc_id, raw, text).join(F.broadcast(few.select(doc_id)), doc_id).where(F.col(raw).isNotNull() & F.col(text).isNotNull()).collect()  # ``limit`` pages and their copies
-    one = {r[doc_id]: (r[raw], r[text]) for r in sorted(rows, key=lambda r: (r[doc_id], r[text]))}
-    return fit([one[k] for k in sorted(one)])
+def train(pages: DataFrame, doc_id: str = "doc_id", raw: str = "raw_html", text: str = "text", limit: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Classifier:
+    """Fit on at most ``limit`` pages that have markup, the first by hash of their id; of copies of a page one is taken before
+    any reaches the driver. ``chars``: pages of the sample beyond so many characters in all are left out of it."""
+    whole = pages.where(F.col(raw).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("id"), F.struct(F.col(text).alias("text"), F.col(raw).alias("raw")).alias("page"))
+    few = whole.select("h", "id").distinct().orderBy("h", "id").limit(limit)
+    one = whole.drop("h").join(F.broadcast(few), "id").groupBy("h", "id").agg(F.max("page").alias("page"))  # at most ``limit`` pages
+    so_far = F.sum(F.length("page.text") + F.length("page.raw")).over(Window.orderBy("h", "id"))
+    rows = one.withColumn("__n", so_far).where(F.col("__n") <= chars).collect()
+    return fit([(r["page"]["raw"], r["page"]["text"]) for r in sorted(rows, key=lambda r: r["id"])])
 
 
 def label_lines(pages: DataFrame, model: Classifier, doc_id: str = "doc_id", raw: str = "raw_html", text: str = "text") -> DataFrame:

@@ -18,14 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import confusables, markup
-from quillspark.session import materialize
+from quillspark.session import broadcast_if_small, materialize
 
 VOTERS = ("last", "first", "middle", "yob", "sport", "nation", "place", "career")
 #: An association between a phrase of a page and a value of an athlete counts if it was seen so often and is this share
 #: of the phrase's; a phrase is heard at all if its best value has this share.
 SEEN, SHARE, CLEAR = 3, 0.12, 0.3
-#: Proven bound of the learned associations: distinct phrases kept.
-ASSOCIATIONS = 100_000
 
 #: Letters without a decomposition.
 _LETTERS = str.maketrans({"ł": "l", "đ": "d", "ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i", "ð": "d", "þ": "th", "ħ": "h"})
@@ -187,26 +185,22 @@ def pair_up(athletes: DataFrame, pages: DataFrame) -> DataFrame:
     return a.join(w, "k").select("ath_id", "wiki_id").distinct()
 
 
-def associations(sure: DataFrame, phrases: str, value: str) -> dict[str, dict[str, float]]:
-    """Phrase -> value -> share, learned from pairs that names and years make sure."""
+def associations(sure: DataFrame, phrases: str, value: str) -> DataFrame:
+    """(p, v): the values that a phrase stands for, learned from pairs that names and years make sure. A table of any size."""
     each = sure.where(F.col(value) != "").select(F.explode(phrases).alias("p"), F.col(value).alias("v")).groupBy("p", "v").count()
-    w = Window.partitionBy("p")
-    kept = each.withColumn("share", F.col("count") / F.sum("count").over(w)).where((F.col("count") >= SEEN) & (F.col("share") >= SHARE))
-    kept = kept.withColumn("best", F.max("share").over(w)).where(F.col("best") >= CLEAR)
-    rows = kept.select("p", "v", "share").orderBy("p", "v").limit(ASSOCIATIONS + 1).collect()
-    if len(rows) > ASSOCIATIONS:
-        raise ValueError("more associations than their bound")
-    out: dict[str, dict[str, float]] = {}
-    for r in rows:
-        out.setdefault(r["p"], {})[r["v"]] = r["share"]
-    return out
+    sums = each.groupBy("p").agg(F.sum("count").alias("n"), F.max("count").alias("top")).where(F.col("top") >= CLEAR * F.col("n"))
+    return each.join(sums, "p").where((F.col("count") >= SEEN) & (F.col("count") >= SHARE * F.col("n")) & (F.col("top") >= SEEN)).select("p", "v")
 
 
-def _heard(phrases, value: str | None, known: dict) -> int:
-    if not value or phrases is None:
-        return 0
-    heard = [known[p] for p in phrases if p in known]
-    return 0 if not heard else 1 if any(value in h for h in heard) else -1
+def hear(pages: DataFrame, phrases: str, known: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: the values that the phrases of a page stand for; NULL if none of its phrases is known. A phrase has at
+    most 1 / SHARE values, so a page's values are bounded by its text."""
+    said = pages.select("wiki_id", F.explode(phrases).alias("p")).where("p IS NOT NULL").join(broadcast_if_small(known), "p")
+    return pages.join(said.groupBy("wiki_id").agg(F.collect_set("v").alias(out)), "wiki_id", "left")
+
+
+def _heard(values, value: str | None) -> int:
+    return 0 if not value or values is None else 1 if value in values else -1
 
 
 def name_votes(a: str, names: list[str], halved: list[str] = (), half: list[str] = ()) -> tuple[int, int, int]:
@@ -231,9 +225,9 @@ def name_votes(a: str, names: list[str], halved: list[str] = (), half: list[str]
     return best
 
 
-def vote(pairs: DataFrame, athletes: DataFrame, pages: DataFrame, sports: dict, nations: dict, places: dict) -> DataFrame:
-    """(ath_id, wiki_id, votes ARRAY<INT>) in the order of VOTERS."""
-    rows = pairs.join(athletes.drop("keys"), "ath_id").join(pages.drop("keys"), "wiki_id")
+def vote(pairs: DataFrame, athletes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(ath_id, wiki_id, votes ARRAY<INT>) in the order of VOTERS; pages with what was heard of sports, nations and places."""
+    rows = pairs.join(athletes.drop("keys"), "ath_id").join(pages.select("wiki_id", "names", "halves", "year", "heard_sports", "heard_nations", "heard_places"), "wiki_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -242,7 +236,7 @@ def vote(pairs: DataFrame, athletes: DataFrame, pages: DataFrame, sports: dict,
                 year, yob = (None if pd.isna(x) else int(x) for x in (r.year, r.yob))
                 games = None if pd.isna(r.games) else int(r.games)
                 career = 0 if year is None or games is None else 1 if 12 <= games - year <= 45 else -1
-                out.append((r.ath_id, r.wiki_id, [*name_votes(r.name, list(r.names), list(r.halved), list(r.halves)), 0 if year is None or yob is None else 1 if year == yob else -1, _heard(r.sports, r.sport, sports), _heard(r.nations, r.country, nations), _heard([r.place], r.country, places), career]))
+                out.append((r.ath_id, r.wiki_id, [*name_votes(r.name, list(r.names), list(r.halved), list(r.halves)), 0 if year is None or yob is None else 1 if year == yob else -1, _heard(r.heard_sports, r.sport), _heard(r.heard_nations, r.country), _heard(r.heard_places, r.country), career]))
             yield pd.DataFrame(out, columns=["ath_id", "wiki_id", "votes"])
 
     return rows.mapInPandas(read, "ath_id long, wiki_id long, votes array<int>")
@@ -306,13 +300,14 @@ class LabelModel:
 
 
 def _classes(side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct descriptions with a number as their ``key``, and the membership: (number, key). Candidates and votes
-    are made between descriptions, so that copies under other ids add no pairs before the result."""
+    """Distinct descriptions (all columns but ``key``, blocking keys included) under their smallest ``key``, and the
+    membership: (that key, key). Candidates and votes are made between descriptions, so that copies under other ids add no
+    pairs before the result."""
     rest = [c for c in side.columns if c != key]
     number = "__" + key[0]
-    side = materialize(side.withColumn(number, F.xxhash64(*[c for c in rest if c != "keys"])))
-    one = side.groupBy(number).agg(*[F.first(c).alias(c) for c in rest])
-    return materialize(one.withColumnRenamed(number, key)), side.select(number, key)
+    side = materialize(side.withColumn("__h", F.md5(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}))))
+    one = materialize(side.groupBy("__h").agg(F.min(key).alias(key), *[F.first(c).alias(c) for c in rest]))
+    return one.drop("__h"), side.select("__h", key).join(one.select("__h", F.col(key).alias(number)), "__h").drop("__h")
 
 
 def link(athletes: DataFrame, wiki: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -320,14 +315,15 @@ def link(athletes: DataFrame, wiki: DataFrame, threshold: float = 0.5) -> DataFr
 
     A page has one person: of several athletes above the threshold the most likely one stays, and all that are equally
     likely if they can't be told apart. An athlete may have several pages or none. NULL and empty names never match on
-    the name; empty tables give no rows; equal descriptions under several ids are one candidate until the result. Only vote patterns (at most 3^8) and the learned associations reach the driver."""
+    the name; empty tables give no rows; equal descriptions under several ids are one candidate until the result. Only vote patterns (at most 3^8) reach the driver."""
     a, of_a = _classes(athlete_side(athletes), "ath_id")
     w, of_w = _classes(page_side(wiki), "wiki_id")
     pairs = materialize(pair_up(a, w))
     full = pairs.join(a, "ath_id").join(w.drop("keys"), "wiki_id").where(F.array_contains("names", F.col("name")) & F.col("name").contains(" "))
     sure = materialize(full.where("yob = year").select("sport", "country", "sports", "nations", F.array("place").alias("places")))
-    sports, nations, places = associations(sure, "sports", "sport"), associations(sure, "nations", "country"), associations(sure, "places", "country")
-    votes = materialize(vote(pairs, a, w, sports, nations, places))
+    told = hear(hear(w, "sports", associations(sure, "sports", "sport"), "heard_sports"), "nations", associations(sure, "nations", "country"), "heard_nations")
+    told = hear(told.withColumn("places", F.array("place")), "places", associations(sure, "places", "country"), "heard_places")
+    votes = materialize(vote(pairs, a, told))
     patterns = {tuple(r["votes"]): float(r["count"]) for r in votes.groupBy("votes").count().collect()}
     model = LabelModel(patterns)
 

@@ -71,6 +71,23 @@ def test_linkage(spark):
     assert linkage.link(a.limit(0), w).count() == 0 and linkage.link(a, w.limit(0)).count() == 0
 
 
+def test_any_number_of_associations(spark):
+    sure = spark.createDataFrame([(f"sport{i}", [f"r:s{i}", "r:all"]) for i in range(300) for _ in range(3)] + [("", ["r:s1"]), ("sport2", ["r:s1"]), ("x", None)], "sport string, sports array<string>")
+    known = linkage.associations(sure, "sports", "sport")
+    assert {(r["p"], r["v"]) for r in known.collect()} == {(f"r:s{i}", f"sport{i}") for i in range(300)}
+    pages = spark.createDataFrame([(1, ["r:s1", "r:new"]), (2, ["r:new"]), (3, None), (4, [])], "wiki_id long, said array<string>")
+    got = {r["wiki_id"]: r["h"] for r in linkage.hear(pages, "said", known, "h").collect()}
+    assert got == {1: ["sport1"], 2: None, 3: None, 4: None}
+    assert [linkage._heard(*x) for x in ((["a"], "a"), (["a"], "b"), (None, "a"), (["a"], None), (["a"], ""))] == [1, -1, 0, 0, 0]
+
+
+def test_descriptions_differ_by_their_keys(spark):
+    side = spark.createDataFrame([(3, "anna b", ["k1"]), (2, "anna b", ["k1"]), (4, "anna b", ["k2"]), (5, None, ["k1"])], "ath_id long, name string, keys array<string>")
+    one, of = linkage._classes(side, "ath_id")
+    assert {(r["ath_id"], tuple(r["keys"])) for r in one.collect()} == {(2, ("k1",)), (4, ("k2",)), (5, ("k1",))}
+    assert {tuple(r) for r in of.select("__a", "ath_id").collect()} == {(2, 2), (2, 3), (4, 4), (5, 5)}
+
+
 def test_double_surnames(spark):
     assert linkage.halves("Nadia Klotsac-Frianenko") == ["nadia klotsac", "nadia frianenko"]
     assert linkage.halves("Kim Min-jung") == linkage.halves("Jean-Pierre Martin") == linkage.halves("Klotsac-Frianenko") == linkage.halves("") == []
@@ -284,6 +301,13 @@ def test_boilerplate(spark):
     assert boilerplate.label_lines(df.limit(0), model).count() == 0
 
 
+def test_sample_has_no_copies(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "<p>x</p>", "x")] * 50 + [("a", "<p>x</p>", "y"), ("b", "<p>z</p>", "z" * 100), ("c", None, "x"), ("d", "x", None)], "doc_id string, raw_html string, text string")
+    monkeypatch.setattr(boilerplate, "fit", lambda pages: pages)
+    assert boilerplate.train(df) == [("<p>x</p>", "y"), ("<p>z</p>", "z" * 100)]
+    assert len(boilerplate.train(df, chars=20)) <= 1 and len(boilerplate.train(df, limit=1)) == 1 and boilerplate.train(df.limit(0)) == []
+
+
 # p5
 
 def test_survivors(spark):
@@ -563,6 +587,13 @@ def test_abuse_held_out(spark):
     assert abuse.score_documents(held, None).where("score IS NOT NULL").count() == 0
 
 
+def test_bounded_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c. " * 100) for i in range(40)] + [(1, "a b c. " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1, 1) for i in range(40)], "doc_id long, toxic int, rater int, rated_at int")
+    monkeypatch.setattr(abuse, "fit", lambda data, words, weight: data)
+    assert len(abuse.train(docs, labels)) == 40 and len(abuse.train(docs, labels, chars=7000)) == 10 and len(abuse.train(docs, labels, limit=5, clean=3)) == 8
+
+
 def test_least_weight_of_terms(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c."), (2, "d e f.")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1, 1), (2, 0, 1, 1)], "doc_id long, toxic int, rater int, rated_at int")
