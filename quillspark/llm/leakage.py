@@ -20,8 +20,6 @@ WINDOW = 16
 WALKS = 4
 TABLES = 6
 PLACES = 4
-#: Windows of a document with fewer words that occur in any item can't hold half of one and aren't embedded.
-KNOWN = 8
 #: Share of an item's words that must be aligned in one stretch.
 SHARE = 0.34
 BLOCK = 5000
@@ -109,25 +107,33 @@ def _places(seed: int) -> list[list[list[int]]]:
     return out
 
 
-def signatures(symbols: np.ndarray, pos: np.ndarray | None = None, seed: int = 11) -> Iterator[np.ndarray]:
-    """For each table, a key for the window at each word (of ``pos``). ``symbols`` must end with a window of zeros."""
+def signatures(symbols: np.ndarray, pos: np.ndarray | None = None, seed: int = 11, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each table, windows by their first word (of ``pos``) and their keys. ``symbols`` must end with a window of zeros.
+    ``known``: whether a symbol occurs in any item. Only windows with known symbols in all sampled places of a table can
+    meet there; the others are left out, and a walk goes on only for windows that may still meet in one of its tables."""
     pos = np.arange(len(symbols) - WINDOW) if pos is None else pos
-    n = len(pos)
     for r, tables in enumerate(_places(seed)):
         bits = _mix(symbols, 1000 + r)
-        last = max(p[-1] for p in tables)
-        at = pos.copy()
-        wanted = {j for p in tables for j in p}
-        seen = {}
-        for j in range(last + 1):
+        wanted = sorted({j for p in tables for j in p})
+        own, at = pos, pos.copy()  # windows that are still walked, and the word each has come to
+        keys = [np.zeros(len(pos), dtype=np.uint64) for _ in tables]
+        able = [np.ones(len(pos), dtype=bool) for _ in tables]
+        for j in range(wanted[-1] + 1):
             if j in wanted:
-                seen[j] = symbols[at]
-            at = np.minimum(at + ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64), pos + WINDOW - 1)
-        for t, p in enumerate(tables):
-            key = np.zeros(n, dtype=np.uint64)
-            for j in p:
-                key = _mix(key ^ seen[j], 77 + t)
-            yield key
+                seen = symbols[at]
+                good = known[at] if known is not None else None
+                for t, p in enumerate(tables):
+                    if j in p:
+                        keys[t] = _mix(keys[t] ^ seen, 77 + t)
+                        if good is not None:
+                            able[t] &= good
+                if good is not None and j in wanted[1::3]:
+                    keep = np.logical_or.reduce(able)
+                    if keep.mean() < 0.8 if len(keep) else False:
+                        own, at, keys, able = own[keep], at[keep], [k[keep] for k in keys], [x[keep] for x in able]
+            at = np.minimum(at + ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64), own + WINDOW - 1)
+        for key, x in zip(keys, able):
+            yield (own, key) if known is None else (own[x], key[x])
 
 
 class Items:
@@ -137,36 +143,31 @@ class Items:
         h = _Hasher()
         self.ids = ids
         self.symbols = [h(words(passage(t or "", prefixes))) for t in texts]
-        flat = [np.zeros((WINDOW, 4), dtype=np.uint64)]
-        owner, start = [], []
-        for i, s in enumerate(self.symbols):
-            flat.insert(-1, s)
-            owner += [i] * len(s)
-            start += range(len(s))
-        flat = np.concatenate(flat)
-        owner, start = np.array(owner, dtype=np.int64), np.array(start, dtype=np.int64)
-        lengths = np.array([len(s) for s in self.symbols], dtype=np.int64)
-        whole = start + WINDOW <= np.maximum(lengths[owner], WINDOW) if len(owner) else np.zeros(0, bool)
-        self.words = np.unique(flat[:, 0])
+        pad = np.zeros((WINDOW, 4), dtype=np.uint64)
+        flat = np.concatenate([x for s in self.symbols for x in (s, pad)] or [pad])  # no window reaches into the next item
+        firsts = np.cumsum([0, *(len(s) + WINDOW for s in self.symbols)])[:-1]
+        long = [i for i, s in enumerate(self.symbols) if len(s) >= WINDOW]
+        owner = np.concatenate([np.full(len(self.symbols[i]) - WINDOW + 1, i) for i in long] or [np.zeros(0, np.int64)])
+        start = np.concatenate([np.arange(len(self.symbols[i]) - WINDOW + 1) for i in long] or [np.zeros(0, np.int64)])
+        words_ = flat[:, 0]
+        self.words = np.unique(words_)
         self.tables = []
-        for key in signatures(flat[:, 0]):
-            keep = np.flatnonzero(whole)
-            order = keep[np.argsort(key[keep], kind="stable")]
+        for _, key in signatures(words_, firsts[owner] + start if len(owner) else np.zeros(0, np.int64)):
+            order = np.argsort(key, kind="stable")
             self.tables.append((key[order], owner[order], start[order]))
+        # items shorter than a window meet wherever one of their words, whole or nearly, stands
+        short = [(x, i, k) for i, s in enumerate(self.symbols) if len(s) < WINDOW for k, four in enumerate(s.tolist()) for x in four if x]
+        short.sort()
+        self.short = tuple(np.array([x[c] for x in short], dtype=np.uint64 if c == 0 else np.int64) for c in range(3))
 
 
 def candidates(symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, word of the document where the item would begin, word met) of all windows that meet."""
+    """(item, word of the document where the item would begin, word met) of all windows that meet, and of all words of short items.
+    ``symbols``: words x 4, ending with a window of zeros."""
     got: list[tuple] = []
-    known = items.words[np.minimum(np.searchsorted(items.words, symbols), len(items.words) - 1)] == symbols
-    known &= symbols != 0
-    total = np.concatenate([[0], np.cumsum(known)])
-    pos = np.flatnonzero(total[WINDOW:-1] - total[: -WINDOW - 1] >= KNOWN)
-    if not len(pos):
-        return (np.zeros(0, np.int64),) * 3
-    for (keys, owner, start), key in zip(items.tables, signatures(symbols, pos)):
-        if not len(keys):
-            continue
+    first = symbols[:, 0]
+
+    def meet(keys: np.ndarray, owner: np.ndarray, start: np.ndarray, key: np.ndarray, pos: np.ndarray) -> None:
         a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
         hit = np.flatnonzero(b > a)
         if len(hit):
@@ -174,6 +175,18 @@ def candidates(symbols: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarra
             idx = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             w = np.repeat(pos[hit], n)
             got.append((owner[idx], w - start[idx], w))
+
+    known = items.words[np.minimum(np.searchsorted(items.words, first), len(items.words) - 1)] == first
+    known &= first != 0
+    total = np.concatenate([[0], np.cumsum(known)])
+    some = np.flatnonzero(total[WINDOW:-1] > total[: -WINDOW - 1])  # windows with an item word at all
+    for (keys, owner, start), (pos, key) in zip(items.tables, signatures(first, some, known=known)):
+        if len(keys):
+            meet(keys, owner, start, key, pos)
+    if len(items.short[0]):
+        for k in range(4):
+            pos = np.flatnonzero(symbols[:-WINDOW, k])
+            meet(*items.short, symbols[pos, k], pos)
     if not got:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*got))
@@ -216,7 +229,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 
     The items are the query set: in blocks of ``BLOCK`` they are held against all documents, so documents are read once
     a block and never shuffled. Whole texts and all windows take part. NULL or empty texts have no leaks; equal
-    documents are reported each; items of fewer than eight words are compared too but meet only as whole windows."""
+    documents are reported each; items shorter than a window are held against every place where one of their words stands."""
     q = items.where(F.col(text).isNotNull()).select(item_id, text).dropDuplicates([item_id])
     kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"{doc_id} {kind[0]}, {item_id} {kind[1]}, score double"
@@ -245,7 +258,7 @@ def _scan(ids: list, texts: list[str], prefixes: set[str], share: float, doc_id:
                 flat = np.concatenate(own)
                 ends = np.cumsum([len(x) for x in own])[1::2]
                 firsts = np.concatenate([[0], ends[:-1]])
-                item, begin, at = candidates(flat[:, 0], index)
+                item, begin, at = candidates(flat, index)
                 doc = np.searchsorted(ends, at, "right")
                 found: dict[tuple, float] = {}
                 for i in np.unique(item):

@@ -512,6 +512,33 @@ def test_recall_against_brute_force():
     assert got <= brute and len(got) >= 0.97 * len(brute)
 
 
+def test_short_items_and_neighbours(spark):
+    items = [(1, "zebra quartz lantern"), (2, " ".join(f"alpha{i}" for i in range(15))), (3, "solo"), (4, " ".join(f"beta{i}" for i in range(40)))]
+    docs = [(10, "we saw a zebra near the quartz lantern"), (11, "x " * 50 + " ".join(f"alpha{i}" for i in range(0, 15, 2))), (12, "nothing of it"), (13, "he went solo"), (14, "only a zebra"), (15, "y " * 30 + " ".join(f"beta{i}" for i in range(5, 30)))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(10, 1), (11, 2), (13, 3), (15, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(df, it).collect()} == want
+    for x in items:  # an item is found alike whatever items stand beside it
+        alone = spark.createDataFrame([x], "item_id long, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(df, alone).collect()} == {w for w in want if w[1] == x[0]}
+
+
+def test_pruned_walks_lose_no_meeting():
+    rng = np.random.default_rng(2)
+    symbols = np.concatenate([rng.integers(1, 60, 3000), np.zeros(leakage.WINDOW)]).astype(np.uint64)
+    known = (symbols % np.uint64(3) == 0) & (symbols > 0)
+    full = list(leakage.signatures(symbols))
+    for (pos, key), (p, k) in zip(full, leakage.signatures(symbols, known=known)):
+        every = dict(zip(pos.tolist(), key.tolist()))
+        assert all(every[i] == x for i, x in zip(p.tolist(), k.tolist())) and len(p) < len(pos)
+    # a key of an item made of known words is met wherever it stands in full
+    item = symbols[100:140].copy()
+    mine = np.isin(symbols, item)
+    for (pos, key), (p, k) in zip(full, leakage.signatures(symbols, known=mine)):
+        at = (pos >= 100) & (pos <= 124)
+        assert set(pos[at].tolist()) <= set(p.tolist())
+
+
 def test_passage_and_words():
     assert leakage.words("The ﬁnal was Vlaufber-\ng's [see note] DAY") == ["the", "final", "was", "vlaufbergs", "day"]
     p = leakage.task_prefixes(["Read on: a b.", "Read on: c d.", "Read on: e", "Once. x"])
