@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: Attribute -> marker of the element that shows it.
 ATTRIBUTES = {"name": "display-name", "noc": "nocs", "sport": "disciplines", "participations": "games-participations", "first_games": "first-olympic-game", "yob": "year-of-birth"}
+#: How the element of a marker shows its text, the first form that is there.
+SHOWN_BY = (r"<div[^>]*data-cy=['\"]{marker}['\"][^>]*>.*?<(?:h1|span)[^>]*>(.*?)</(?:h1|span)>", r"<span[^>]*data-cy=['\"]{marker}['\"][^>]*>(.*?)</span>")
+#: Elements without text, medal colours.
 JUNK_TAGS = ("script", "style", "noscript", "template", "svg", "picture", "source")
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&eacute;": "é", "&amp;": "&"}
 MEDALS = ("Gold", "Silver", "Bronze")
 
 
@@ -22,11 +26,18 @@ def plain(c: Column) -> Column:
 
 
 def plain_unescaped(c: Column) -> Column:
-    """``plain`` with common entities as characters; NBSP is white space."""
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    for a, b in ENTITIES.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    """``plain`` with entities, named and numeric, as characters; NBSP is white space."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, r"<[^>]+>", " ")), r"[\s\u00a0]+", " "))
+
+
+def unescaped(c: Column) -> Column:
+    """HTML entities as characters. Only texts with an ampersand go through Python."""
+
+    @F.pandas_udf("string")
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.coalesce(unescape(F.when(c.contains("&"), c)), c)
 
 
 def without_junk(c: Column, word_end: bool = False) -> Column:
@@ -37,10 +48,9 @@ def without_junk(c: Column, word_end: bool = False) -> Column:
 
 def attribute(html: Column, marker: str) -> Column:
     """Text of the element with a ``data-cy`` marker: its first heading or span if a div, itself if a span; NULL if empty."""
-    key = re.escape(marker)
-    in_div = F.regexp_extract(html, rf"(?is)<div[^>]*data-cy=['\"]{key}['\"][^>]*>.*?<(?:h1|span)[^>]*>(.*?)</(?:h1|span)>", 1)
-    in_span = F.regexp_extract(html, rf"(?is)<span[^>]*data-cy=['\"]{key}['\"][^>]*>(.*?)</span>", 1)
-    return F.nullif(plain(F.when(F.length(in_div) > 0, in_div).otherwise(in_span)), F.lit(""))
+    forms = [F.regexp_extract(html, "(?is)" + f.format(marker=re.escape(marker)), 1) for f in SHOWN_BY]
+    found = F.coalesce(*[F.when(f != "", f) for f in forms], F.lit(""))
+    return F.nullif(plain(found), F.lit(""))
 
 
 def attribute_strict(html: Column, marker: str) -> Column:
@@ -83,7 +93,16 @@ def main_text(html: Column) -> Column:
 
 def paragraphs(html: Column) -> Column:
     """Paragraph texts joined by line breaks; whatever begins like <p opens one."""
-    return F.array_join(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), plain), "\n")
+    return F.array_join(F.transform(_paragraphs(html), plain), "\n")
+
+
+def paragraphs_strict(html: Column) -> Column:
+    """The older reading: paragraphs are joined before they are cleaned, so that white space between them is one blank."""
+    return plain_unescaped(F.array_join(_paragraphs(html), " \n "))
+
+
+def _paragraphs(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
 
 
 def article_text(blocks: Column, main: Column, paras: Column, minlen: int = 30) -> Column:
@@ -132,6 +151,10 @@ def infobox_value(head: Column, names: str) -> Column:
     return wiki_value(F.regexp_extract(head, rf"(?im)^\|\s*{names}\s*=\s*(?!\s*$)([^\|\n]+)", 1))
 
 
+#: Fixed value: two capitalised words and what follows up to the fourth sentence end.
+BIOGRAPHY = r"(?s)[A-ZÁ-Ž][a-zá-ž]+ [A-ZÁ-Ž][a-zá-ž]+.*?[.!?](?:\s*.*?[.!?]){3}"
+
+
 def biography(text: Column) -> Column:
     """From the first pair of capitalised words to the fourth sentence end of the cleaned text; '' if it has fewer."""
     c = F.trim(_replaced(text, [
@@ -139,7 +162,7 @@ def biography(text: Column) -> Column:
         (r"(?i)</?small[^>]*>", " "), (r"(?s)\{\{.*?\}\}", " "), (r"<!--.*?-->", " "), (r"&[a-z]+;", " "), (r"(?m)^\s*={1,6}\s*[^=]+?\s*={1,6}\s*$", " "),
         (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"), (r"[{}'\"|]+", " "), (r"\s+", " "),
     ]))
-    return F.regexp_extract(c, r"(?s)[A-ZÁ-Ž][a-zá-ž]+ [A-ZÁ-Ž][a-zá-ž]+" + r".*?[.!?]" + r"(?:\s*.*?[.!?]){3}", 0)
+    return F.regexp_extract(c, BIOGRAPHY, 0)
 
 
 def title_name(title: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,12 +77,12 @@ def fold_exact(c: Column) -> Column:
 
 
 def name_key(c: Column, collapse_ws: bool = False) -> Column:
-    """Entity key: plain letters, lower case, bracketed parts gone, other characters to single spaces each. White space
-    isn't made one unless ``collapse_ws``."""
+    """Entity key: plain letters, lower case, bracketed parts gone, other characters but backslashes to single spaces each,
+    a backslash with the letters s after it to one. White space isn't made one unless ``collapse_ws``."""
     c = F.lower(F.trim(F.translate(c, KEY_FROM, KEY_TO)))
     c = F.regexp_replace(c, r"\s*\([^(]*\)\s*", " ")
     c = F.regexp_replace(c, r"\s*\[[^]]*\]\s*", " ")
-    c = F.regexp_replace(c, r"[^a-z0-9]", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9\\]", " "), r"\\s+", " ")
     return F.trim(F.regexp_replace(c, r"\s+", " ") if collapse_ws else c)
 
 
@@ -102,6 +103,11 @@ def index_tokens(c: Column) -> Column:
     return F.filter(query_tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS) & ~t.rlike(r"^\p{N}+$"))
 
 
+def standard_words(s: str) -> list[str]:
+    """The words of ``standard_tokens`` for a driver-side string, such as a query."""
+    return regex.findall(STANDARD_WORD, s.lower())
+
+
 def standard_tokens(c: Column) -> Column:
     """Lower-cased words of a standard analyser; accents stay."""
     return F.regexp_extract_all(F.lower(c), F.lit(STANDARD_WORD), F.lit(0))

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 BLOCKED = (r"/sign-?in(?:/|[?#]|$)", r"/videos?(?:/|[?#]|$)", r"/films?(?:/|[?#]|$)", r"/podcast(?:/|[?#]|$)", r"/live(?:/|[?#]|$)")
 
 
+#: Fixed value: what a crawl takes below its root.
+SECTIONS = ("^(?:news|athletes|olympic-games)(?:/.*)?$", "^sports/[^/]+/.+$")
+#: Fixed value: names of entity pages.
+ENTITY_PAGE = "[a-z0-9-]+/?"
+
+
 @dataclass(frozen=True)
 class CrawlRules:
     """Which URLs a crawl takes: those of ``domain`` under /``root``/ whose rest matches one of ``sections``, and none of
@@ -19,7 +25,7 @@ class CrawlRules:
 
     domain: str
     root: str = "en"
-    sections: tuple[str, ...] = ("^(?:news|athletes|olympic-games)(?:/.*)?$", "^sports/[^/]+/.+$")
+    sections: tuple[str, ...] = SECTIONS
     entity: str = "athletes"
     blocked: tuple[str, ...] = BLOCKED
 
@@ -39,7 +45,7 @@ class CrawlRules:
 
     def tier(self, url: Column) -> Column:
         """0 for a page of one entity, 1 for a source of further links."""
-        return F.when(url.rlike(rf"{self.site}/{self.entity}/[a-z0-9-]+/?$"), 0).otherwise(1)
+        return F.when(url.rlike(rf"{self.site}/{self.entity}/{ENTITY_PAGE}$"), 0).otherwise(1)
 
 
 def normalize(url: Column) -> Column:
@@ -68,5 +74,5 @@ def file_suffix(path: Column) -> Column:
 
 
 def route(tier: Column, url: Column, root: str) -> Column:
-    """Folder a page is stored in."""
-    return F.when((tier == 0) & (url != root), "athletes").otherwise("lookup")
+    """Folder a page is stored in: entity pages in one, all others, and the entities' ``root`` page, in the other."""
+    return F.when((tier == 0) & (F.rtrim(url, F.lit("/")) != root.rstrip("/")), "athletes").otherwise("lookup")

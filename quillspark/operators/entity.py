@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import markup as mk
 from quillspark.functions import text as tx
-from quillspark.session import broadcast_if_small
+from quillspark.session import materialize
 
 WIKI_COLUMNS = ("wiki_sport", "wiki_birth_place", "wiki_position", "wiki_club", "wiki_height", "wiki_bio")
 
@@ -57,18 +57,18 @@ def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str) ->
     count, so nothing unbounded is broadcast and texts are not shuffled. Few names make a broadcast nested loop; more
     are found in one pass over each text by an automaton of all names of the block. Repeated names give repeated pairs."""
     known = names.where(F.col(name).isNotNull())
-    n = known.select(name).distinct().count()
+    one = materialize(known.select(name).distinct())
+    n, rows = one.count(), known.count()
     if n <= LOOP_NAMES:
-        return texts.join(broadcast_if_small(known), F.contains(F.col(text), F.col(name)))
-    blocks = -(-n // BLOCK_NAMES)
-    out = None
-    for i in range(blocks):
-        block = known.select(name).distinct().where(F.pmod(F.xxhash64(name), F.lit(blocks)) == i)
-        part = texts.withColumn(name, F.explode(_names_in(text, [r[0] for r in block.collect()])))  # at most about BLOCK_NAMES
-        out = part if out is None else out.unionByName(part)
-    if len(names.columns) == 1 and known.count() == n:
-        return out
-    return out.join(known, name)
+        out = texts.join(F.broadcast(one), F.contains(F.col(text), F.col(name)))  # counted
+    else:
+        blocks = -(-n // BLOCK_NAMES)
+        out = None
+        for i in range(blocks):
+            block = one.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == i)
+            part = texts.withColumn(name, F.explode(_names_in(text, [r[0] for r in block.collect()])))  # at most about BLOCK_NAMES
+            out = part if out is None else out.unionByName(part)
+    return out if len(names.columns) == 1 and rows == n else out.join(known, name)
 
 
 def _names_in(text: str, names: list[str]) -> Column:

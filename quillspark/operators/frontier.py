@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import markup as mk
 from quillspark.functions import urls as ur
+from quillspark.session import broadcast_if_small, materialize
 
 STATE = "url string, tier int, seq long"
 
@@ -39,13 +40,22 @@ def new_links(links: DataFrame, seen: DataFrame, rules: ur.CrawlRules) -> DataFr
 
 def add(state: Frontier, links: DataFrame, rules: ur.CrawlRules, source_cap: int = 2000) -> Frontier:
     """The frontier with the links' new URLs. Sources beyond ``source_cap`` pending ones are dropped and not seen, so that
-    they may come again; entity pages have no cap. Only candidate sources up to the cap are ordered in one task."""
-    new = new_links(links, state.seen, rules)
-    room = max(0, source_cap - state.pending.where("tier = 1").count())
-    taken = new.where("tier = 0").unionByName(new.where("tier = 1").orderBy("seq", "url").limit(room))
-    start = state.pending.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
-    numbered = taken.withColumn("seq", F.row_number().over(Window.partitionBy("tier").orderBy("seq", "url")) + F.lit(start - 1)).select("url", "tier", F.col("seq").cast("long").alias("seq"))
-    return Frontier(state.pending.unionByName(numbered), state.seen.unionByName(numbered.select("url")))
+    they may come again; entity pages have no cap. New URLs are made once and numbered over all tasks (``numbered``)."""
+    sources, last = state.pending.agg(F.count_if(F.col("tier") == 1), F.coalesce(F.max("seq"), F.lit(-1))).first()
+    new = numbered(new_links(links, state.seen, rules), "tier", ["seq", "url"], "k").where((F.col("tier") == 0) | (F.col("k") <= max(0, source_cap - sources)))
+    new = new.select("url", "tier", (F.col("k") + F.lit(last)).cast("long").alias("seq"))
+    return Frontier(state.pending.unionByName(new), state.seen.unionByName(new.select("url")))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: 1, 2, ... within each ``group`` by ``order``. Rows are range-partitioned and sorted, so groups of any size
+    spread over tasks; a row's number is its place in its task and the sum of its group's rows in earlier tasks."""
+    cut = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    cut = materialize(cut)  # the places stay as they are
+    runs = cut.groupBy(group, "__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))  # a row a task and group
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    return cut.join(broadcast_if_small(runs), [group, "__p"]).withColumn(out, F.col("__before") + F.col("__i") - F.col("__first") + 1).drop("__p", "__i", "__before", "__first")
 
 
 def take(state: Frontier, n: int) -> tuple[DataFrame, Frontier]:
@@ -54,6 +64,15 @@ def take(state: Frontier, n: int) -> tuple[DataFrame, Frontier]:
     return batch, Frontier(state.pending.join(batch.select("url"), "url", "left_anti"), state.seen)
 
 
+def budget(pages: DataFrame, done: int, most: int) -> tuple[DataFrame, int]:
+    """The fetched pages (status, seq) that still count, and how many pages are done then: only those with status 200 use
+    the budget of ``most``, and nothing after the page that uses it up, or after a 403, is taken."""
+    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # one batch of ``take``
+    good, stop = F.count_if(F.col("status") == "200").over(w), F.coalesce(F.count_if(F.col("status") == "403").over(w), F.lit(0))
+    kept = materialize(pages.withColumn("__ok", (F.coalesce(good, F.lit(0)) + done < most) & (stop == 0)).where("__ok").drop("__ok"))
+    return kept, done + kept.where("status = '200'").count()
+
+
 def save(state: Frontier, path: str) -> None:
     state.pending.write.mode("overwrite").parquet(f"{path}/pending")
     state.seen.write.mode("overwrite").parquet(f"{path}/seen")

@@ -81,6 +81,7 @@ FIELDS = (
     Field("name", "name", 5.0), Field("sport_text", "sport", 3.0), Field("country_text", "country", 3.0), Field("wiki_sport", "wiki_sport", 2.0), Field("wiki_birth_place", "wiki_birth_place", 2.0),
     Field("wiki_position", "wiki_position", 1.5), Field("wiki_club", "wiki_club", 1.2), Field("wiki_bio", "wiki_bio", 1.1), Field("lookup_texts", "lookup_texts", 1.05),
 )
+#: Columns kept whole, and those that ranges are searched in.
 KEYWORDS = ("name", "country", "sport", "first_games")
 INTEGERS = ("gold", "silver", "bronze", "yob", "participations")
 
@@ -106,6 +107,17 @@ def entity_docs(entities: DataFrame, key: str) -> DataFrame:
     return entities.dropDuplicates([key]).select(*keep, *[c for c in entities.columns if c not in ("doc_id", key)])
 
 
+def save_field_index(index: FieldIndex, path: str) -> None:
+    """Parquet tables; postings range-partitioned and sorted by term, so that a query's words skip row groups."""
+    index.postings.repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    for name in ("stats", "docs"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_field_index(spark, path: str) -> FieldIndex:
+    return FieldIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "stats", "docs")))
+
+
 def build_field_index(entities: DataFrame, key: str, fields: Sequence[Field] = FIELDS, terms: Sequence[str] | None = None) -> FieldIndex:
     """Index of several fields. With ``terms`` only their postings are made, lengths and statistics stay complete."""
     docs = entity_docs(entities, key)

@@ -33,6 +33,11 @@ def skip_reasons(meta: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return classified(meta, files).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def skipped_rows(meta: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The skipped rows themselves: (reason, url, path), as the lists a report prints."""
+    return classified(meta, files).where("reason IS NOT NULL").select("reason", "url", "path")
+
+
 def malformed_count(entities: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows, rows without any of the columns, rows that lack some."""
     blanks = [F.coalesce(F.length(tx.strip(F.col(c).cast("string"))), F.lit(0)) == 0 for c in columns]

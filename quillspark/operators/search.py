@@ -31,6 +31,12 @@ def bm25_weight(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float =
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def of_terms(index: Index, words: Sequence[str]) -> Index:
+    """The part of an index that a query's words need; the filter reaches the scan of a saved index."""
+    few = F.col("term").isin(*words) if words else F.lit(False)
+    return Index(index.postings.where(few), index.terms.where(few), index.docs, index.stats)
+
+
 def scores(index: Index, terms: DataFrame, by: Sequence[str] = (), rank: str = "bm25", k1: float = 1.2, b: float = 0.75, few: bool = False) -> DataFrame:
     """(*by, doc_id, score) for query terms (*by, term, qtf): every document with some term; unknown terms do nothing.
 
@@ -50,6 +56,7 @@ def scores(index: Index, terms: DataFrame, by: Sequence[str] = (), rank: str = "
 
 def search_text(index: Index, query: str, rank: str = "bm25", k: int = 10, urls: DataFrame | None = None) -> DataFrame:
     """(rank, doc_id, score[, url]): the k best documents; equal scores by doc_id. No words: no rows."""
+    index = of_terms(index, sorted(set(driver_tokens(query))))
     top = scores(index, query_terms(index.postings.sparkSession, query), rank=rank, few=True).orderBy(F.desc("score"), "doc_id").limit(k)
     if urls is not None:
         top = top.join(urls, "doc_id", "left").withColumn("url", F.coalesce("url", F.lit("")))
@@ -149,16 +156,20 @@ def _sql(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def search_fields(entities: DataFrame, query: str | FilterQuery, key: str, k: int = 100, fields: Sequence[Field] = FIELDS, quantize_norms: bool = False) -> DataFrame:
-    """The k best entities of a filter query: their columns, ``doc_id`` and ``score``; equal scores by doc_id.
+def search_fields(entities: DataFrame | FieldIndex, query: str | FilterQuery, key: str, k: int = 100, fields: Sequence[Field] = FIELDS, quantize_norms: bool = False) -> DataFrame:
+    """The k best entities of a filter query: their columns, ``doc_id`` and ``score``; equal scores by doc_id. A saved
+    ``FieldIndex`` in place of the entities is read for the query's words only.
 
     Every word should occur in some field; each phrase must equal a keyword column. With integer ranges words only rank
     (each range adds 1); without, at least one word must occur. An empty query has no hits."""
     q = parse_filters(query) if isinstance(query, str) else query
     tokens = text_tokens(q.text) if q.text else []
-    words = [w for t in tokens for w in re.findall(r"[^\W]+(?:['’.·][^\W\d_][^\W]*)*", t.text.lower())]
-    spark = entities.sparkSession
-    index = build_field_index(entities, key, fields, terms=sorted(set(words)) or ["\u0000"])
+    words = [w for t in tokens for w in tx.standard_words(t.text)]
+    if isinstance(entities, FieldIndex):
+        index = FieldIndex(entities.postings.where(F.col("term").isin(*set(words)) if words else F.lit(False)), entities.stats, entities.docs)
+    else:
+        index = build_field_index(entities, key, fields, terms=sorted(set(words)) or ["\u0000"])
+    spark = index.docs.sparkSession
     docs = index.docs.where(range_filter(q.ranges))
     text_hits = None
     if q.text is not None:

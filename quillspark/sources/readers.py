@@ -10,6 +10,8 @@ from quillspark.functions import urls as ur
 
 METADATA = "doc_id string, status string, file string, date string, url string"
 ATHLETES = "file string, name string, country string, sport string, participations string, first_games string, yob string, gold string, silver string, bronze string, url string"
+#: How CSV files are written: values keep their outer blanks, quotes are doubled.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 WIKI = "title string, revision struct<text: struct<_VALUE: string>>"
 
 
@@ -53,18 +55,33 @@ def read_articles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_athletes(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
     """Append rows to the crawl log; paths are normalised, rows without a date get today's."""
     day = F.coalesce("date", F.date_format(F.current_date(), "yyyy-MM-dd")) if "date" in df.columns else F.date_format(F.current_date(), "yyyy-MM-dd")
-    df.select(F.col("doc_id"), F.col("status"), tx.path_norm(F.col("file")).alias("file"), day.alias("date"), F.col("url")).write.mode("append").option("header", True).csv(path)
+    df.select(F.col("doc_id"), F.col("status"), tx.path_norm(F.col("file")).alias("file"), day.alias("date"), F.col("url")).write.mode("append").options(**CSV).csv(path)
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Pages (url, tier, html) as Parquet, a folder for entities and one for the rest."""
-    pages.withColumns({"folder": ur.route(F.col("tier"), F.col("url"), ""), "file": ur.filename(F.col("url"))}).write.mode("overwrite").partitionBy("folder").parquet(path)
+def init_log(spark: SparkSession, path: str) -> None:
+    """An empty crawl log with its header, if there is none."""
+    spark.createDataFrame([], METADATA).coalesce(1).write.mode("ignore").options(**CSV).csv(path)
+
+
+def write_articles(articles: DataFrame, path: str) -> None:
+    """Articles (doc_id, text) with text as Parquet sorted by doc_id, one row each; ``read_saved_articles`` reads them."""
+    articles.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
+
+
+def read_saved_articles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id string, text string").parquet(path)
+
+
+def write_pages(pages: DataFrame, path: str, root: str = "") -> None:
+    """Pages (url, tier, html) as Parquet, a folder for entities and one for the rest; ``root``: the page of all entities,
+    which is no entity."""
+    pages.withColumns({"folder": ur.route(F.col("tier"), F.col("url"), root), "file": ur.filename(F.col("url"))}).write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def write_entities(df: DataFrame, path: str) -> None:

@@ -180,3 +180,68 @@ def test_reports(spark):
     assert [r["doc_id"] for r in readers.article_ids(m).collect()] == ["1", "2", ""]
     e = spark.createDataFrame([("a", None), (" ", ""), ("b", "c")], "x string, y string")
     assert tuple(quality.malformed_count(e, ["x", "y"]).first()) == (3, 1, 2)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_over_tasks(spark):
+    rows = [(i % 3 == 0, (i * 7919) % 500, f"u{i:04d}") for i in range(700)]
+    df = spark.createDataFrame(rows, "g boolean, o int, u string").repartition(5)
+    got = frontier.numbered(df, "g", ["o", "u"], "k")
+    assert "Window" not in _plan(got.select("u").where("g")) or "__p" in _plan(got)  # a window over tasks, none over rows
+    for g in (True, False):
+        want = [u for _, _, u in sorted(r for r in rows if r[0] == g)]
+        assert [r["u"] for r in sorted((r for r in got.collect() if r["g"] == g), key=lambda r: r["k"])] == want
+        assert sorted(r["k"] for r in got.collect() if r["g"] == g) == list(range(1, len(want) + 1))
+    assert frontier.numbered(df.limit(0), "g", ["o"], "k").count() == 0
+
+
+def test_budget_counts_good_pages(spark):
+    pages = spark.createDataFrame([("200", 1), ("404", 2), ("200", 3), ("ERR", 4), ("200", 5), ("200", 6)], "status string, seq int")
+    kept, done = frontier.budget(pages, 1, 3)
+    assert sorted(r["seq"] for r in kept.collect()) == [1, 2, 3] and done == 3
+    kept, done = frontier.budget(pages.withColumn("status", F.when(F.col("seq") == 2, "403").otherwise(F.col("status"))), 0, 9)
+    assert sorted(r["seq"] for r in kept.collect()) == [1, 2] and done == 1
+    assert frontier.budget(pages.limit(0), 0, 2)[1] == 0 and frontier.budget(pages, 3, 3)[0].count() == 0
+
+
+def test_saved_fields(spark, tmp_path):
+    cols = "entity_id int, name string, country string, sport string, wiki_bio string, gold int"
+    df = spark.createDataFrame([(1, "Ann Lee", "Norway", "Rowing", "rower of 1.80 m, l'équipe", 2), (2, "Bo", None, "Judo", "rower", 0), (2, "Bo", None, "Judo", "rower", 0)], cols)
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("wiki_sport", "wiki_birth_place", "wiki_position", "wiki_club", "lookup_texts")})
+    index.save_field_index(index.build_field_index(df, "entity_id"), str(tmp_path))
+    back = index.load_field_index(spark, str(tmp_path))
+    for q in ("rower", "1.80", "L'ÉQUIPE", "rower gold>1", "nowhere", "", '"Rowing" norway'):
+        assert [tuple(r) for r in search.search_fields(back, q, "entity_id").select("doc_id", "score").collect()] == [tuple(r) for r in search.search_fields(df, q, "entity_id").select("doc_id", "score").collect()]
+    assert [r["doc_id"] for r in search.search_fields(back, "1.80", "entity_id").collect()] == [1] and [r["doc_id"] for r in search.search_fields(back, "l'équipe", "entity_id").collect()] == [1]
+    assert "term" in _plan(search.field_scores(index.FieldIndex(back.postings.where(F.col("term").isin("rower")), back.stats, back.docs), ["rower"])).split("PushedFilters")[1]
+
+
+def test_copies_of_few_names(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = spark.range(250_000).select(F.concat(F.lit("name "), F.col("id") % 10).alias("n"), F.col("id").alias("other"))
+        texts = spark.createDataFrame([(1, "of name 3 and name 4"), (2, None)], "d int, t string")
+        got = entity.substring_join(texts, names, "t", "n")
+        assert "CartesianProduct" not in _plan(got) and got.count() == 50_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sinks(spark, tmp_path):
+    readers.init_log(spark, str(tmp_path / "log"))
+    assert readers.read_metadata(spark, str(tmp_path / "log")).count() == 0
+    row = [("1", " 200", 'a "b"\\c', "d", 'say "u", v')]
+    readers.append_log(spark.createDataFrame(row, readers.METADATA), str(tmp_path / "log"))
+    readers.init_log(spark, str(tmp_path / "log"))  # changes nothing
+    assert tuple(readers.read_metadata(spark, str(tmp_path / "log")).first())[1:] == (" 200", 'a "b"/c', "d", 'say "u", v')
+    readers.write_articles(spark.createDataFrame([("b", "x\ny"), ("a", "z"), ("c", ""), (None, "q")], "doc_id string, text string"), str(tmp_path / "art"))
+    assert {tuple(r) for r in readers.read_saved_articles(spark, str(tmp_path / "art")).collect()} == {("a", "z"), ("b", "x\ny")}
+    root = "https://games.example/en/athletes"
+    pages = spark.createDataFrame([(root + "/x", 0, "h"), (root + "/", 0, "h"), ("https://games.example/en/news", 1, "h")], "url string, tier int, html string")
+    readers.write_pages(pages, str(tmp_path / "pages"), root)
+    assert {r["url"]: r["folder"] for r in spark.read.parquet(str(tmp_path / "pages")).collect()} == {root + "/x": "athletes", root + "/": "lookup", "https://games.example/en/news": "lookup"}
+    m = spark.createDataFrame([("200", "", "u1"), ("404", "x", "u2"), ("200", "y", "u3")], "status string, file string, url string")
+    assert {tuple(r) for r in quality.skipped_rows(m, spark.createDataFrame([("y",)], "file string")).collect()} == {("empty path", "u1", ""), ("status", "u2", "x")}

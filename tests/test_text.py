@@ -73,3 +73,17 @@ def test_wiki(spark):
     text = "{{Infobox\n| a = b\n}}\n'''Jane Doe''' is a rower.<ref>x</ref> She won. She lost. She left. More."
     assert one(spark, text, mk.biography) == "Jane Doe is a rower. She won. She lost. She left."
     assert one(spark, "Jane Doe is a rower. She won.", mk.biography) == ""
+
+
+def test_entities_and_older_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import markup, text
+
+    df = spark.createDataFrame([("<b>a</b>&#233;&#x41;&nbsp;&copy;&frac12; &bogus; &lt;i&gt;",), ("plain",), (None,), ("",)], "h string")
+    assert [r[0] for r in df.select(markup.plain_unescaped(F.col("h"))).collect()] == ["a éA ©½ &bogus; <i>", "plain", None, ""]
+    p = spark.createDataFrame([("<p>one</p><p> two <b>x</b></p>",)], "h string")
+    assert p.select(markup.paragraphs(F.col("h")), markup.paragraphs_strict(F.col("h"))).first() == ("one\ntwo x", "one two x")
+    k = spark.createDataFrame([("A\\b (c) d",), ("x\\s y",)], "n string")
+    assert [r[0] for r in k.select(text.name_key(F.col("n"))).collect()] == ["a\\b d", "x  y"]
+    assert text.standard_words("Of 1.80 m, l'équipe é!") == ["of", "1.80", "m", "l'équipe", "é"]
