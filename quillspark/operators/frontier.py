@@ -42,7 +42,7 @@ def add(state: Frontier, links: DataFrame, rules: ur.CrawlRules, source_cap: int
     """The frontier with the links' new URLs. Sources beyond ``source_cap`` pending ones are dropped and not seen, so that
     they may come again; entity pages have no cap. New URLs are made once and numbered over all tasks (``numbered``)."""
     sources, last = state.pending.agg(F.count_if(F.col("tier") == 1), F.coalesce(F.max("seq"), F.lit(-1))).first()
-    new = numbered(new_links(links, state.seen, rules), "tier", ["seq", "url"], "k").where((F.col("tier") == 0) | (F.col("k") <= max(0, source_cap - sources)))
+    new = numbered(materialize(new_links(links, state.seen, rules)), "tier", ["seq", "url"], "k").where((F.col("tier") == 0) | (F.col("k") <= max(0, source_cap - sources)))
     new = new.select("url", "tier", (F.col("k") + F.lit(last)).cast("long").alias("seq"))
     return Frontier(state.pending.unionByName(new), state.seen.unionByName(new.select("url")))
 
