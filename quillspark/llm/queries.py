@@ -89,6 +89,10 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d))
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    return packing.faults(p8_packed(spark, d), "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
@@ -111,7 +115,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
@@ -120,6 +124,7 @@ _POSTINGS = """
   g AS (SELECT count(*) AS n_docs, sum(n) AS total FROM d)"""
 
 SQL = {
+    "p8_faults": "SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS torn, 0::BIGINT AS lost, 0::BIGINT AS overfull FROM documents",
     "p7_found": _POSTINGS + """,
   s AS (SELECT doc_id, term, tf * ln(n_docs::DOUBLE / df) AS w FROM p JOIN t USING (term), g)
   SELECT doc_id, term FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) = 1""",

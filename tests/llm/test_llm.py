@@ -441,6 +441,9 @@ def test_pack(spark):
         used[r["container"]] = used.get(r["container"], 0) + r["size"]
     assert max(used.values()) <= 100 and sum(used.values()) == sum(n or 0 for _, n in rows)
     assert sum(r["size"] == 100 for r in got) == 2 * sum(n == 250 for _, n in rows) and {r["piece"] for r in got if r["size"] < 100 and r["piece"]} == {2}
+    assert tuple(packing.faults(packing.pack(df.where("doc_id <> 1"), "doc_id", "n", 100), "doc_id", 100).first())[1:] == (0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 0, 60, 0), (1, 1, 60, 30, 0), (2, 0, 0, 20, 0), (3, 1, 100, 5, 2)], "doc_id long, piece int, from_token long, size int, container long")
+    assert tuple(packing.faults(bad, "doc_id", 100).first()) == (3, 1, 1, 1)
     report = packing.fill_report(packing.pack(df, "doc_id", "n", 100), 100).first()
     assert report["filled"] > 0.9
     assert packing.pack(df.limit(0), "doc_id", "n", 100).count() == 0
