@@ -1,4 +1,4 @@
-"""Driver queries of this subpackage, and SQL for those that SQL can state."""
+"""Driver queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import abuse, boilerplate, confusables, distinctive, leakage, linkage, markup, packing, survivor
+from quillspark.llm.oracle import SQL  # noqa: F401
 from quillspark.session import spread, table
 
 
@@ -116,25 +117,3 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
-
-_POSTINGS = """
-  WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
-  p AS (SELECT term, e.key AS doc_id, max(e.value) AS tf FROM rows WHERE e.value > 0 GROUP BY 1, 2),
-  t AS (SELECT term, count(*) AS df, sum(tf) AS w FROM p GROUP BY 1), d AS (SELECT doc_id, sum(tf) AS n FROM p GROUP BY 1),
-  g AS (SELECT count(*) AS n_docs, sum(n) AS total FROM d)"""
-
-SQL = {
-    "p8_faults": "SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS torn, 0::BIGINT AS lost, 0::BIGINT AS overfull FROM documents",
-    "p7_found": _POSTINGS + """,
-  s AS (SELECT doc_id, term, tf * ln(n_docs::DOUBLE / df) AS w FROM p JOIN t USING (term), g)
-  SELECT doc_id, term FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) = 1""",
-    "p7_top_z": _POSTINGS + """,
-  x AS (SELECT doc_id, term, tf, w, n, total, 500.0::DOUBLE * w / total AS a FROM p JOIN t USING (term) JOIN d USING (doc_id), g),
-  s AS (SELECT doc_id, term,
-    round((ln((tf + a) / (n + 500.0::DOUBLE - tf - a)) - ln((w - tf + a) / (total - n + 500.0::DOUBLE - w + tf - a))) / sqrt(1 / (tf + a) + 1 / (w - tf + a)), 9) AS z FROM x)
-  SELECT doc_id, term FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY z DESC, term) = 1""",
-    "p7_scores": _POSTINGS + """,
-  x AS (SELECT doc_id, term, tf, df, n_docs, w, n, total, 500.0::DOUBLE * w / total AS a FROM p JOIN t USING (term) JOIN d USING (doc_id), g)
-  SELECT doc_id, term, tf, df, n_docs, round(tf * ln(n_docs::DOUBLE / df), 4) AS weight,
-    round((ln((tf + a) / (n + 500.0::DOUBLE - tf - a)) - ln((w - tf + a) / (total - n + 500.0::DOUBLE - w + tf - a))) / sqrt(1 / (tf + a) + 1 / (w - tf + a)), 4) AS z FROM x""",
-}
