@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns in this module say what pages and wiki texts look like, so they are what results depend on.
-
 #: Attribute -> marker of the element that shows it.
 ATTRIBUTES = {"name": "display-name", "noc": "nocs", "sport": "disciplines", "participations": "games-participations", "first_games": "first-olympic-game", "yob": "year-of-birth"}
 #: How the element of a marker shows its text, the first form that is there.
 SHOWN_BY = (r"<div[^>]*data-cy=['\"]{marker}['\"][^>]*>.*?<(?:h1|span)[^>]*>(.*?)</(?:h1|span)>", r"<span[^>]*data-cy=['\"]{marker}['\"][^>]*>(.*?)</span>")
+SHOWN_BY_STRICT = r"(?is)<div[^>]*\bdata-cy\s*=\s*['\"]{marker}['\"][^>]*>.*?<(h1|span)[^>]*>(.*?)</\1>.*?</div>|<span[^>]*\bdata-cy\s*=\s*['\"]{marker}['\"][^>]*>(.*?)</span>"
+#: Medal modules of a page, their colour and count, and the older form of both.
+MEDAL_MODULE, MEDAL_COLOUR, MEDAL_COUNT = r"(?is)<div[^>]*data-cy=[\"']medal-module[\"'][^>]*>.*?</div>", r"title=[\"'](Gold|Silver|Bronze)[\"']", r"data-cy=[\"']ocs-text-module[\"'][^>]*>(\d+)</"
+MEDAL_STRICT = r"(?i)<div[^>]*data-cy=[\"']medal-module[\"'][^>]*title=[\"'](Gold|Silver|Bronze)[\"'][\s\S]*?<span[^>]*data-cy=[\"']medal-main[\"'][^>]*>[\s\S]*?>(\d+)<"
+#: Marked blocks, the main element, paragraphs, anchors.
+BLOCK = r"(?is)<(div|section)(?=[^>]*data-cy=[\"'](?:text-block-container|second-block)[\"'])[^>]*>(.*?)</\1>"
+MAIN, PARAGRAPH, ANCHOR = r"(?is)<main[^>]*>(.*?)</main>", r"(?is)<p[^>]*>(.*?)</p>", r"(?is)<a\b[^>]*?\bhref\s*=\s*(['\"])(.*?)\1"
 #: Elements without text, medal colours.
 JUNK_TAGS = ("script", "style", "noscript", "template", "svg", "picture", "source")
 MEDALS = ("Gold", "Silver", "Bronze")
@@ -56,19 +63,18 @@ def attribute(html: Column, marker: str) -> Column:
 def attribute_strict(html: Column, marker: str) -> Column:
     """The older reading: whichever form comes first, spaces around the equals sign allowed, the heading's own closing
     tag and a closing div required; '' if missing."""
-    key = re.escape(marker)
-    both = rf"(?is)<div[^>]*\bdata-cy\s*=\s*['\"]{key}['\"][^>]*>.*?<(h1|span)[^>]*>(.*?)</\1>.*?</div>|<span[^>]*\bdata-cy\s*=\s*['\"]{key}['\"][^>]*>(.*?)</span>"
-    first, second = F.regexp_extract(html, both, 2), F.regexp_extract(html, both, 3)
-    return F.coalesce(plain_unescaped(F.when(F.length(first) > 0, first).otherwise(second)), F.lit(""))
+    both = SHOWN_BY_STRICT.replace("{marker}", re.escape(marker))
+    shown = [F.regexp_extract(html, both, i) for i in (2, 3)]
+    return F.coalesce(plain_unescaped(F.concat(*shown)), F.lit(""))  # one form matches at a time
 
 
 def medal_counts(html: Column) -> dict[str, Column]:
     """Medals by colour, summed over the page's medal modules; a module without digits makes its colour NULL."""
-    modules = F.regexp_extract_all(html, F.lit(r"(?is)<div[^>]*data-cy=[\"']medal-module[\"'][^>]*>.*?</div>"), F.lit(0))
+    modules = F.regexp_extract_all(html, F.lit(MEDAL_MODULE), F.lit(0))
 
     def total(colour: str) -> Column:
-        own = F.filter(modules, lambda m: F.regexp_extract(m, r"title=[\"'](Gold|Silver|Bronze)[\"']", 1) == colour)
-        count = F.transform(own, lambda m: F.regexp_extract(m, r"data-cy=[\"']ocs-text-module[\"'][^>]*>(\d+)</", 1).try_cast("int"))
+        own = F.filter(modules, lambda m: F.regexp_extract(m, MEDAL_COLOUR, 1) == colour)
+        count = F.transform(own, lambda m: F.regexp_extract(m, MEDAL_COUNT, 1).try_cast("int"))
         return F.aggregate(count, F.lit(0), lambda a, n: a + n)
 
     return {m.lower(): total(m) for m in MEDALS}
@@ -76,19 +82,17 @@ def medal_counts(html: Column) -> dict[str, Column]:
 
 def medal_counts_strict(html: Column) -> dict[str, Column]:
     """The older reading: the count stands in a medal-main span after the module; colours in any case; 0 if missing."""
-    form = r"(?i)<div[^>]*data-cy=[\"']medal-module[\"'][^>]*title=[\"'](Gold|Silver|Bronze)[\"'][\s\S]*?<span[^>]*data-cy=[\"']medal-main[\"'][^>]*>[\s\S]*?>(\d+)<"
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(form), F.lit(1)).alias("c"), F.regexp_extract_all(html, F.lit(form), F.lit(2)).alias("n"))
+    pairs = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(MEDAL_STRICT), F.lit(i)).alias(k) for i, k in ((1, "c"), (2, "n"))])
     return {m.lower(): F.coalesce(F.aggregate(F.filter(pairs, lambda p: F.lower(p["c"]) == m.lower()), F.lit(0), lambda a, p: a + p["n"].cast("int")), F.lit(0)) for m in MEDALS}
 
 
 def text_blocks(html: Column, minlen: int = 30) -> Column:
     """Texts of the marked blocks of at least ``minlen`` characters, in page order."""
-    form = r"(?is)<(div|section)(?=[^>]*data-cy=[\"'](?:text-block-container|second-block)[\"'])[^>]*>(.*?)</\1>"
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(form), F.lit(2)), plain), lambda b: F.length(b) >= minlen)
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(2)), plain), lambda b: F.length(b) >= minlen)
 
 
 def main_text(html: Column) -> Column:
-    return plain(F.regexp_extract(html, r"(?is)<main[^>]*>(.*?)</main>", 1))
+    return plain(F.regexp_extract(html, MAIN, 1))
 
 
 def paragraphs(html: Column) -> Column:
@@ -102,26 +106,42 @@ def paragraphs_strict(html: Column) -> Column:
 
 
 def _paragraphs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(PARAGRAPH), F.lit(1))
 
 
 def article_text(blocks: Column, main: Column, paras: Column, minlen: int = 30) -> Column:
     """Blocks if there are any, else the main element, else the paragraphs, each of at least ``minlen``; else ''."""
-    return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n")).when(F.length(main) >= minlen, main).when(F.length(paras) >= minlen, paras).otherwise("")
+    whole = [F.when(F.length(c) >= minlen, c) for c in (main, paras)]
+    return F.coalesce(F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n")), *whole, F.lit(""))
 
 
 def links(html: Column) -> Column:
     """Quoted href values of anchors, in page order."""
-    return F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*(['\"])(.*?)\1"), F.lit(2))
+    return F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
 
 
 # Wiki text
 
-#: Fixed value: title prefixes of pages that are no articles.
+#: Title prefixes of pages that are no articles; infobox lines; what shows a person of sports.
 NAMESPACES = r"^(Category|List|Template|Module|Portal|Draft|Help|Wikipedia):"
 INFOBOX = {"wiki_sport": "(?:sport|sports|event|discipline)", "wiki_birth_place": "(?:birth_place|birthplace)", "wiki_position": "(?:position|positions)", "wiki_club": "[a-z_ ]*clubs?", "wiki_height": "(?:height|height_cm|height_m)"}
 
 
+PERSON = (r"(?mi)^\|\s*(birth_place|birth_date)\s*=", r"(?i)(sport|sports|event|discipline|team|club|position)\s*=")
+#: What an infobox value, and the text of a biography, lose, in this order.
+VALUE_STEPS = (
+    (r"(?s)<ref[^>]*>.*?</ref>", " "), (r"(?i)<ref[^/>]*>", " "), (r"(?i)<ref[^/>]*/>", " "), (r"(?s)\{\{.*?\}\}", " "), (r"\{\{.*", " "),
+    (r"\[\[[^|\]]*\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"), (r"&[a-z]+;", " "), ("[•]", " "), (r"\s+", " "),
+)
+BIOGRAPHY_STEPS = (
+    (r"(?s)\{\{Infobox[^}]*\}\}", " "), (r"(?m)^\|.*$", " "), (r"<ref[^>]*>.*?</ref>", " "), (r"<ref[^/>]*/>", " "), (r"(?i)<small[^>]*>.*?</small>", " "),
+    (r"(?i)</?small[^>]*>", " "), (r"(?s)\{\{.*?\}\}", " "), (r"<!--.*?-->", " "), (r"&[a-z]+;", " "), (r"(?m)^\s*={1,6}\s*[^=]+?\s*={1,6}\s*$", " "),
+    (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"), (r"[{}'\"|]+", " "), (r"\s+", " "),
+)
+#: Fixed value: two capitalised words and what follows up to the fourth sentence end.
+BIOGRAPHY = r"(?s)[A-ZÁ-Ž][a-zá-ž]+ [A-ZÁ-Ž][a-zá-ž]+.*?[.!?](?:\s*.*?[.!?]){3}"
+
+
 def infobox_head(text: Column, chars: int = 3000) -> Column:
     """The opening of a page, one-line comments gone, breaks as line ends."""
     c = F.regexp_replace(F.substring(text, 1, chars), r"<!--.*?-->", " ")
@@ -129,21 +149,16 @@ def infobox_head(text: Column, chars: int = 3000) -> Column:
 
 
 def is_candidate(head: Column) -> Column:
-    return head.rlike(r"(?mi)^\|\s*(birth_place|birth_date)\s*=") | head.rlike(r"(?i)(sport|sports|event|discipline|team|club|position)\s*=")
+    return head.rlike(PERSON[0]) | head.rlike(PERSON[1])
 
 
-def _replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
-    for pattern, by in steps:
-        c = F.regexp_replace(c, pattern, by)
-    return c
+def _cleaned(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    return F.trim(reduce(lambda x, step: F.regexp_replace(x, *step), steps, c))
 
 
 def wiki_value(c: Column) -> Column:
     """An infobox value as plain text; the order of the steps matters."""
-    return F.trim(_replaced(c, [
-        (r"(?s)<ref[^>]*>.*?</ref>", " "), (r"(?i)<ref[^/>]*>", " "), (r"(?i)<ref[^/>]*/>", " "), (r"(?s)\{\{.*?\}\}", " "), (r"\{\{.*", " "),
-        (r"\[\[[^|\]]*\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"), (r"&[a-z]+;", " "), ("[•]", " "), (r"\s+", " "),
-    ]))
+    return _cleaned(c, VALUE_STEPS)
 
 
 def infobox_value(head: Column, names: str) -> Column:
@@ -151,18 +166,9 @@ def infobox_value(head: Column, names: str) -> Column:
     return wiki_value(F.regexp_extract(head, rf"(?im)^\|\s*{names}\s*=\s*(?!\s*$)([^\|\n]+)", 1))
 
 
-#: Fixed value: two capitalised words and what follows up to the fourth sentence end.
-BIOGRAPHY = r"(?s)[A-ZÁ-Ž][a-zá-ž]+ [A-ZÁ-Ž][a-zá-ž]+.*?[.!?](?:\s*.*?[.!?]){3}"
-
-
 def biography(text: Column) -> Column:
     """From the first pair of capitalised words to the fourth sentence end of the cleaned text; '' if it has fewer."""
-    c = F.trim(_replaced(text, [
-        (r"(?s)\{\{Infobox[^}]*\}\}", " "), (r"(?m)^\|.*$", " "), (r"<ref[^>]*>.*?</ref>", " "), (r"<ref[^/>]*/>", " "), (r"(?i)<small[^>]*>.*?</small>", " "),
-        (r"(?i)</?small[^>]*>", " "), (r"(?s)\{\{.*?\}\}", " "), (r"<!--.*?-->", " "), (r"&[a-z]+;", " "), (r"(?m)^\s*={1,6}\s*[^=]+?\s*={1,6}\s*$", " "),
-        (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"), (r"[{}'\"|]+", " "), (r"\s+", " "),
-    ]))
-    return F.regexp_extract(c, BIOGRAPHY, 0)
+    return F.regexp_extract(_cleaned(text, BIOGRAPHY_STEPS), BIOGRAPHY, 0)
 
 
 def title_name(title: Column) -> Column:

@@ -298,7 +298,7 @@ def decode_text(df: DataFrame, text: str, out: str = "measures", model: UnitMode
 
 
 #: Readings a task of ``decode_series`` holds at once.
-TASK_ROWS = 100_000
+TASK_ROWS = 25_000
 
 
 def decode_series(df: DataFrame, device: str, order: str | Sequence[str], value: str, hint: str | None = None, model: UnitModel = HEIGHT, entry: str | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from quillspark.functions import text as tx
 from quillspark.functions import urls as ur
 from quillspark.operators import entity, frontier, index, quality, search, units
 from quillspark.plans.query_lang import to_range
-from quillspark.session import shared_dir, spread, table
+from quillspark.session import exists, own_path, spread, table
 from quillspark.sources import readers
 
 QUERY = "injury night train protest final protest"
@@ -38,15 +36,12 @@ def _index(spark, d, method="", keep=True) -> index.Index:
 _SAVED: dict[tuple, str] = {}
 
 
-def _path(spark, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quillspark/{kind}-{uuid.uuid4().hex}"
-
-
 def saved(spark, d, kind: str, save) -> str:
-    """Where the index of a collection is saved: built on the first search of a session, read by all others."""
+    """Where the index of a collection is saved: built on the first search of a session, read by all others; built again if
+    its last file is gone."""
     key = spark.sparkContext.applicationId, d, kind
-    if key not in _SAVED:
-        path = _path(spark, kind)
+    if key not in _SAVED or not exists(spark, f"{_SAVED[key]}/docs/_SUCCESS"):
+        path = own_path(spark, kind)
         save(path)
         _SAVED[key] = path
     return _SAVED[key]
@@ -63,14 +58,14 @@ def _saved_fields(spark, d) -> index.FieldIndex:
 
 def index_build(spark, d):
     """Builds and saves the index that the searches read."""
-    path = _path(spark, "built")
+    path = own_path(spark, "built")
     index.save_index(_index(spark, d, "bm25"), path)
     return index.load_index(spark, path).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def field_index_build(spark, d):
     """Builds and saves the index of the entities' fields."""
-    path = _path(spark, "built")
+    path = own_path(spark, "built")
     index.save_field_index(index.build_field_index(table(spark, d, "final_entities").drop("wiki_id"), "entity_id"), path)
     return index.load_field_index(spark, path).postings.select("field", "term", "doc_id", "tf", "dl")
 
@@ -214,7 +209,7 @@ def frontier_take(spark, d):
 
 def frontier_reload(spark, d):
     """The frontier saved after a step of 100 pages, and loaded."""
-    path = _path(spark, "frontier")
+    path = own_path(spark, "frontier")
     frontier.save(frontier.take(_frontier(spark, d), 100)[1], path)
     return frontier.load(spark, path).pending.select("url", "tier", "seq")
 
@@ -337,40 +332,40 @@ def html_paragraph_strict(spark, d):
 # Sources and sinks: written to the shared folder and read again
 
 def log_round_trip(spark, d):
-    path = _path(spark, "log")
+    path = own_path(spark, "log")
     readers.init_log(spark, path)
     readers.append_log(table(spark, d, "metadata").where("NOT coalesce(url, '') LIKE '%\\\\%'"), path)
     return readers.read_metadata(spark, path).groupBy(*[F.coalesce(c, F.lit("")).alias(c) for c in ("doc_id", "status", "file", "date", "url")]).agg(F.count("*").alias("n"))
 
 
 def athletes_round_trip(spark, d):
-    path = _path(spark, "athletes")
+    path = own_path(spark, "athletes")
     columns = [c.split(" ")[0] for c in readers.ATHLETES.split(", ")]
     readers.write_athletes(table(spark, d, "athletes").select(*[F.col(c).cast("string").alias(c) for c in columns]), path)
     return readers.read_athletes(spark, path).select("file", "country", "sport", "gold", "silver", "bronze", "url").groupBy("file", "country", "sport", "gold", "silver", "bronze", "url").agg(F.count("*").alias("n"))
 
 
 def articles_round_trip(spark, d):
-    path = _path(spark, "articles")
+    path = own_path(spark, "articles")
     readers.write_articles(entity.extract_articles(pages(spark, d)), path)
     return readers.read_saved_articles(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def entities_round_trip(spark, d):
-    path = _path(spark, "entities")
+    path = own_path(spark, "entities")
     readers.write_entities(table(spark, d, "final_entities"), path)
     return spark.read.parquet(path).select("entity_id", "name_norm", F.size("lookup_urls").alias("n_urls"))
 
 
 def athlete_json(spark, d):
-    path = _path(spark, "json")
+    path = own_path(spark, "json")
     readers.entity_json(table(spark, d, "athletes"), path)
     return spark.read.schema("name string, country string, sport string, gold int, silver int, bronze int, url string").json(path).groupBy("country", "sport").agg(F.count("*").alias("n"), F.sum("gold").alias("gold"), F.count_distinct("url").alias("n_urls"))
 
 
 def index_json(spark, d):
     """The exported index, its parts counted by term."""
-    path = _path(spark, "index_json")
+    path = own_path(spark, "index_json")
     index.export_json(_saved_index(spark, d, "bm25")).write.text(path)
     j = spark.read.schema("term string, part int, df long, idf double, postings map<string,long>").json(path)
     return j.groupBy("term").agg(F.max("df").alias("df"), F.round(F.max("idf"), 6).alias("idf"), F.sum(F.size("postings")).alias("n"), F.sum(F.aggregate(F.map_values("postings"), F.lit(0).cast("long"), lambda a, b: a + b)).alias("tf"))

@@ -40,10 +40,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def own_path(spark: SparkSession, kind: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/quillspark/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove what this application wrote to the shared folder; for the end of a job, when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quillspark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillspark/{uuid.uuid4().hex}"
+    path = own_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,6 +30,18 @@ def test_one_machine_has_its_own(spark):
     assert sorted(r[0] for r in session.materialize(df).collect()) == list(range(10)) == sorted(r[0] for r in session.spread(df).collect())
 
 
+def test_own_files_can_be_discarded(spark):
+    import glob
+
+    df = session.materialize(spark.range(3))
+    mine = session.own_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    assert df.count() == 3 and glob.glob(mine + "/table-*")
+    path = session.own_path(spark, "kept")
+    spark.range(2).write.parquet(path)
+    session.discard(spark)
+    assert not glob.glob(mine + "/*")
+
+
 def test_broadcasts_are_checked(spark):
     from pyspark.sql import functions as F
 
