@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +41,25 @@ def p2_pages(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean(pages, "site", "raw_html", "clean").select("doc_id", "site", "clean")
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted(spark: SparkSession, d: str, kind: str, fit: Callable[[], object]) -> object:
+    """A model fitted once a session and folder; queries that need the same one share it."""
+    key = spark.sparkContext.applicationId, d, kind
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "lookups")
-    return boilerplate.boilerplate_lines(pages, boilerplate.train(pages))
+    return boilerplate.boilerplate_lines(pages, fitted(spark, d, "p4", lambda: boilerplate.train(pages)))
 
 
 def p4_content(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "lookups")
-    return boilerplate.label_lines(pages, boilerplate.train(pages)).select("doc_id", "content").distinct()
+    return boilerplate.label_lines(pages, fitted(spark, d, "p4", lambda: boilerplate.train(pages))).select("doc_id", "content").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +113,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    model = abuse.train(docs, table(spark, d, "tox_labels"), table(spark, d, "abuse_terms"))
+    model = fitted(spark, d, "p10", lambda: abuse.train(docs, table(spark, d, "tox_labels"), table(spark, d, "abuse_terms")))
     return abuse.score_documents(docs, model)
 
 
