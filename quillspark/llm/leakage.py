@@ -199,10 +199,18 @@ def local_scores(doc: np.ndarray, lows: np.ndarray, width: int, item: np.ndarray
     d = doc[cols]
     d[(cols < first[:, None]) | (cols >= end[:, None])] = 0
     if need > 0:
-        like = np.zeros(d.shape[:2], dtype=bool)
+        # a stretch scores at most its words that occur in the item, and at most the item's words that occur in it
+        like, have = np.zeros(d.shape[:2], dtype=bool), np.zeros((len(lows), len(item)), dtype=bool)
+        rows = np.broadcast_to(np.arange(len(lows))[:, None], d.shape[:2])
         for k in range(4):
-            like |= np.isin(d[:, :, k], item[:, k][item[:, k] != 0])
-        able = like.sum(1) >= need
+            vocabulary, own = np.unique(item[:, k], return_inverse=True)
+            at = np.minimum(np.searchsorted(vocabulary, d[:, :, k]), len(vocabulary) - 1)
+            hit = (vocabulary[at] == d[:, :, k]) & (d[:, :, k] != 0)
+            like |= hit
+            there = np.zeros((len(lows), len(vocabulary)), dtype=bool)
+            there[rows[hit], at[hit]] = True
+            have |= there[:, own]
+        able = np.minimum(like.sum(1), have.sum(1)) >= need
         if not able.all():
             best = np.zeros(len(lows))
             if able.any():
