@@ -11,6 +11,7 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ def variants(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word}
 
 
+@lru_cache(maxsize=1 << 18)
 def near(a: str, b: str) -> int:
     """Edit distance with swaps of neighbours, 3 if more than 2."""
     if a == b:
