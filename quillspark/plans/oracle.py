@@ -335,3 +335,26 @@ SQL |= {
     "infobox_extract": f"WITH {HEADS} SELECT name, " + ", ".join(f"{infobox(k)} AS {k}" for k in INFOBOX) + " FROM people",
     "bio_extract": f"WITH {HEADS}, c AS (SELECT name, {steps('text', BIO_STEPS)} AS c FROM people) SELECT name, regexp_extract(c, {q(BIO)}, 0) AS wiki_bio FROM c",
 }
+
+
+def _measure(t: str, pattern: str, factor: str) -> str:
+    """The first number of a form, in centimetres; NULL if there is none. A comma before three digits groups, another is a point."""
+    n = f"regexp_extract({t}, {q('(?i)' + pattern)}, 1)"
+    return f"(TRY_CAST(replace(regexp_replace({n}, ',([0-9]{{3}})$', '\\1'), ',', '.') AS DECIMAL(18, 6)) * {factor}::DECIMAL(9, 3))"
+
+
+def _inches(t: str) -> str:
+    form = q("(?i)([0-9]+) ?-?(?:feet|foot|ft|'')[ -]*([0-9]+(?:[.][0-9]+)?)( ?½| [0-9]/[0-9])?".replace("''", "'"))
+    foot, inch, part = (f"regexp_extract({t}, {form}, {i})" for i in (1, 2, 3))
+    fraction = f"CASE WHEN contains({part}, '½') THEN 0.5 WHEN contains({part}, '/') THEN TRY_CAST(substr(trim({part}), 1, 1) AS DECIMAL(9, 6)) / TRY_CAST(substr(trim({part}), 3, 1) AS INT) ELSE 0 END"
+    return f"((TRY_CAST({foot} AS INT) * 12 + TRY_CAST({inch} AS DECIMAL(18, 6)) + ({fraction})::DECIMAL(9, 6)) * 2.54::DECIMAL(9, 3))"
+
+
+#: Heights as they are written: templates and quotes in plain form, then metric measures before feet and inches, then bare numbers.
+_PLAIN_HEIGHT = "regexp_replace(regexp_replace(translate(wiki_height, '’′”″ ', '''''\"\" '), '[{][{](?:height|convert)[|](?:(m|cm)=)?([0-9.]+)(?:[|](cm|m))?[^{}]*[}][}]', '\\2 \\1\\3'), '[{][{][^{}]*[}][}]', '')"
+_FORMS = [
+    _measure("t", "([0-9]+(?:[.,][0-9]+)?) ?(?:cm|centimet)", "1"), _measure("t", "([0-9],?[0-9]{3}) ?mm", "0.1"), _measure("t", "([0-9]+[.,][0-9]+) ?(?:m\\b|met)", "100"), _inches("t"),
+    _measure("t", "([0-9]+[.][0-9]+) ?ft", "30.48"), _measure("t", "^ *([0-9]+) ?(?:\"|in)", "2.54"), _measure("t", "^ *([0-9]{3}) *$", "1"), _measure("t", "^ *([12][.][0-9]+) *$", "100"),
+]
+SQL["p6_found"] = f"""WITH w AS (SELECT DISTINCT wiki_id, {_PLAIN_HEIGHT} AS t FROM wiki_df WHERE wiki_height IS NOT NULL), h AS (SELECT wiki_id, floor(coalesce({', '.join(_FORMS)}) + 0.5)::BIGINT AS height_cm FROM w)
+  SELECT DISTINCT wiki_id, height_cm FROM h WHERE height_cm BETWEEN 120 AND 230"""
