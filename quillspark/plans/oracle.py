@@ -350,11 +350,16 @@ def _inches(t: str) -> str:
     return f"((TRY_CAST({foot} AS INT) * 12 + TRY_CAST({inch} AS DECIMAL(18, 6)) + ({fraction})::DECIMAL(9, 6)) * 2.54::DECIMAL(9, 3))"
 
 
-#: Heights as they are written: templates and quotes in plain form, then metric measures before feet and inches, then bare numbers.
-_PLAIN_HEIGHT = "regexp_replace(regexp_replace(translate(wiki_height, '’′”″ ', '''''\"\" '), '[{][{](?:height|convert)[|](?:(m|cm)=)?([0-9.]+)(?:[|](cm|m))?[^{}]*[}][}]', '\\2 \\1\\3'), '[{][{][^{}]*[}][}]', '')"
-_FORMS = [
-    _measure("t", "([0-9]+(?:[.,][0-9]+)?) ?(?:cm|centimet)", "1"), _measure("t", "([0-9],?[0-9]{3}) ?mm", "0.1"), _measure("t", "([0-9]+[.,][0-9]+) ?(?:m\\b|met)", "100"), _inches("t"),
-    _measure("t", "([0-9]+[.][0-9]+) ?ft", "30.48"), _measure("t", "^ *([0-9]+) ?(?:\"|in)", "2.54"), _measure("t", "^ *([0-9]{3}) *$", "1"), _measure("t", "^ *([12][.][0-9]+) *$", "100"),
-]
-SQL["p6_found"] = f"""WITH w AS (SELECT DISTINCT wiki_id, {_PLAIN_HEIGHT} AS t FROM wiki_df WHERE wiki_height IS NOT NULL), h AS (SELECT wiki_id, floor(coalesce({', '.join(_FORMS)}) + 0.5)::BIGINT AS height_cm FROM w)
+def height_cm(column: str) -> str:
+    """The height a text states, in whole centimetres: templates and quotes are brought to plain form, then metric measures are
+    looked for before feet and inches, then bare numbers."""
+    t = f"regexp_replace(regexp_replace(translate({column}, '’′”″ ', '''''\"\" '), '[{{][{{](?:height|convert)[|](?:(m|cm)=)?([0-9.]+)(?:[|](cm|m))?[^{{}}]*[}}][}}]', '\\2 \\1\\3'), '[{{][{{][^{{}}]*[}}][}}]', '')"
+    forms = [
+        ("([0-9]+(?:[.,][0-9]+)?) ?(?:cm|centimet)", "1"), ("([0-9],?[0-9]{3}) ?mm", "0.1"), ("([0-9]+[.,][0-9]+) ?(?:m\\b|met)", "100"), None,
+        ("([0-9]+[.][0-9]+) ?ft", "30.48"), ('^ *([0-9]+) ?(?:"|in)', "2.54"), ("^ *([0-9]{3}) *$", "1"), ("^ *([12][.][0-9]+) *$", "100"),
+    ]
+    return f"floor(coalesce({', '.join(_inches(t) if f is None else _measure(t, *f) for f in forms)}) + 0.5)::BIGINT"
+
+
+SQL["p6_found"] = f"""WITH h AS (SELECT wiki_id, {height_cm('wiki_height')} AS height_cm FROM (SELECT DISTINCT wiki_id, wiki_height FROM wiki_df WHERE wiki_height IS NOT NULL))
   SELECT DISTINCT wiki_id, height_cm FROM h WHERE height_cm BETWEEN 120 AND 230"""
