@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from quillspark.plans import oracle as core
+
 #: Foreign letters and the Latin letters they print like; hyphens.
 LOOK_ALIKES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "E": "ЕΕᎬ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ",
@@ -60,6 +62,10 @@ def unified(x: str) -> str:
 
 
 _NAMES = "names AS (SELECT 'athletes' AS tbl, ath_id AS row_id, name FROM athletes UNION ALL SELECT 'wiki_df', wiki_id, name FROM wiki_df), u AS (SELECT DISTINCT tbl, row_id, name, replace(" + unified("name") + ", 'ɡ', 'g') AS unified FROM (SELECT DISTINCT * FROM names))"
+#: Names of two or more entities, and the pages of their rows that state a height.
+_HEIGHTS = f"""e AS (SELECT trim(regexp_replace(name_norm, '[\\s ]+', ' ', 'g')) AS name_norm, entity_id, wiki_id, wiki_height, coalesce(len(lookup_urls), -1) AS trust FROM final_entities),
+  g AS (SELECT name_norm FROM e WHERE name_norm <> '' GROUP BY 1 HAVING count(DISTINCT entity_id) > 1), r AS (SELECT wiki_id, max(revised_at) AS revised FROM wiki_df GROUP BY 1),
+  s AS (SELECT name_norm, wiki_id, trust, revised FROM e JOIN g USING (name_norm) LEFT JOIN r USING (wiki_id) WHERE wiki_id IS NOT NULL AND {core.height_cm('wiki_height')} BETWEEN 120 AND 230)"""
 _POSTINGS = """
   WITH rows AS (SELECT DISTINCT segment, term, unnest(map_entries(postings)) AS e FROM index_terms WHERE term IS NOT NULL),
   p AS (SELECT term, e.key AS doc_id, max(e.value) AS tf FROM rows WHERE e.value > 0 GROUP BY 1, 2),
@@ -69,6 +75,7 @@ _POSTINGS = """
 SQL = {
     "p3_found": f"WITH {_NAMES} SELECT DISTINCT tbl, row_id FROM u WHERE unified <> name",
     "p3_unified": f"WITH {_NAMES} SELECT DISTINCT tbl, row_id, unified FROM u",
+    "p5_heights": f"WITH {_HEIGHTS} SELECT name_norm, wiki_id FROM s QUALIFY row_number() OVER (PARTITION BY name_norm ORDER BY revised DESC NULLS LAST, trust DESC, wiki_id) = 1",
     "p8_faults": "SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS torn, 0::BIGINT AS lost, 0::BIGINT AS overfull FROM documents",
     "p7_found": _POSTINGS + """,
   s AS (SELECT doc_id, term, tf * ln(n_docs::DOUBLE / df) AS w FROM p JOIN t USING (term), g)

@@ -67,6 +67,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return won.where("usable").select("name_norm", "field", F.col("record").alias("wiki_id"))
 
 
+def p5_heights(spark: SparkSession, d: str) -> DataFrame:
+    return p5_found(spark, d).where("field = 'wiki_height'").select("name_norm", "wiki_id")
+
+
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df")).where("usable")
     return won.groupBy("name_norm").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("wiki_bio", "wiki_height")])
@@ -129,4 +133,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p5_heights": p5_heights, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
