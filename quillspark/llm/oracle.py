@@ -75,6 +75,7 @@ _POSTINGS = """
 SQL = {
     "p3_found": f"WITH {_NAMES} SELECT DISTINCT tbl, row_id FROM u WHERE unified <> name",
     "p3_unified": f"WITH {_NAMES} SELECT DISTINCT tbl, row_id, unified FROM u",
+    "p4_lines": "SELECT DISTINCT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM lookups WHERE text IS NOT NULL",
     "p5_heights": f"WITH {_HEIGHTS} SELECT name_norm, wiki_id FROM s QUALIFY row_number() OVER (PARTITION BY name_norm ORDER BY revised DESC NULLS LAST, trust DESC, wiki_id) = 1",
     "p8_faults": "SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS torn, 0::BIGINT AS lost, 0::BIGINT AS overfull FROM documents",
     "p7_found": _POSTINGS + """,

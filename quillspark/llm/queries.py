@@ -62,6 +62,14 @@ def p4_content(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.label_lines(pages, fitted(spark, d, "p4", lambda: boilerplate.train(pages))).select("doc_id", "content").distinct()
 
 
+def p4_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each page, counted from both parts it was split into: none is lost, none is in both."""
+    pages = table(spark, d, "lookups")
+    parts = boilerplate.label_lines(pages, fitted(spark, d, "p4", lambda: boilerplate.train(pages)))
+    kept = F.when(F.col("content") == "", 0).otherwise(F.size(F.split("content", "\n", -1)))
+    return parts.select("doc_id", (F.size("boilerplate") + kept).cast("long").alias("n_lines")).where("n_lines IS NOT NULL").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     won = survivor.wiki_survivors(table(spark, d, "final_entities"), table(spark, d, "wiki_df"), ("recency",))  # by its definition the latest usable value
     return won.where("usable").select("name_norm", "field", F.col("record").alias("wiki_id"))
@@ -133,4 +141,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p5_heights": p5_heights, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p4_found": p4_found, "p4_content": p4_content, "p4_lines": p4_lines, "p2_found": p2_found, "p2_clean": p2_clean, "p2_pages": p2_pages, "p5_found": p5_found, "p5_records": p5_records, "p5_heights": p5_heights, "p3_found": p3_found, "p3_unified": p3_unified, "p7_found": p7_found, "p7_scores": p7_scores, "p7_top_z": p7_top_z, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
