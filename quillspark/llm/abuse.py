@@ -208,8 +208,8 @@ def fit(documents: list[tuple[list[str], float]], terms: list[str], clean_weight
     A document's label says that some sentence is abusive, not which, and raters err. A sentence of a toxic document is
     positive if most sentences near it in kernel space stand in other toxic documents, negative if they stand in clean
     ones as well; of a toxic document's sentences without near ones the best may be positive: first by how particular
-    its words are to toxic documents and by the word list, then by the model. ``clean_weight``: how many clean documents
-    each of the sample stands for. None if either label is missing."""
+    its words are to toxic documents and by the word list, then by the model. ``clean_weight``: how many times as many
+    documents a clean one of the sample stands for as a toxic one. None if either label is missing."""
     bags = [([fold(s) for s in ss], label) for ss, label in documents if ss and label != 0.5]
     if not any(v > 0.5 for _, v in bags) or not any(v < 0.5 for _, v in bags):
         return None
@@ -312,6 +312,7 @@ def fit(documents: list[tuple[list[str], float]], terms: list[str], clean_weight
 def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, limit: int = LABELLED, clean: int = CLEAN, least_weight: float = 2, chars: int = SAMPLE_CHARS) -> Model | None:
     """Fit on at most ``limit`` toxic and ``clean`` clean labelled documents, the first by hash of their id, as far as they have ``chars``
     characters in all. Copied ratings count once, a document's label is the majority of its raters, ties and NULL ratings don't count.
+    Either label's documents of the sample stand for all of that label, so the share of toxic ones near a sentence is that of the whole table.
     ``terms`` only mark which sentences start as positive; those with a weight below ``least_weight`` or NULL aren't used."""
     votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic", "rater", "rated_at").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
@@ -320,8 +321,9 @@ def train(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = Non
     rows = one.withColumn("__n", F.sum(F.length("text")).over(Window.orderBy(*order))).where(F.col("__n") <= chars).collect()
     data = [(sentences(r["text"]), float(r["y"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
     words = [r["term"] for r in terms.where(F.col("term").isNotNull() & (F.col("weight") >= least_weight)).select("term").distinct().collect()] if terms is not None else []
-    all_clean = votes.where("y < 0.5").count()
-    return fit(data, sorted(words), max(1.0, all_clean / max(sum(v < 0.5 for _, v in data), 1)))
+    every = votes.agg(F.count_if(F.col("y") > 0.5), F.count_if(F.col("y") < 0.5)).first()
+    toxic_for, clean_for = (n / max(k, 1) for n, k in zip(every, (sum(v > 0.5 for _, v in data), sum(v < 0.5 for _, v in data))))
+    return fit(data, sorted(words), clean_for / toxic_for if toxic_for else 1.0)
 
 
 def score_documents(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:

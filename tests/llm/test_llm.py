@@ -624,6 +624,19 @@ def test_bounded_sample(spark, monkeypatch):
     assert len(abuse.train(docs, labels)) == 40 and len(abuse.train(docs, labels, chars=7000)) == 10 and len(abuse.train(docs, labels, limit=5, clean=3)) == 8
 
 
+def test_sample_stands_for_both_labels(spark, monkeypatch):
+    train, test = abusive(1, 6000), abusive(2, 300)
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(i, t, "s") for i, t, _ in train], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([(i, int(y if rnd.random() > 0.1 else not y), "r", None) for i, _, y in train], "doc_id long, toxic int, rater string, rated_at timestamp")
+    model = abuse.train(docs, lab, limit=150, clean=200)
+    got = {r["doc_id"] for r in abuse.score_documents(spark.createDataFrame([(i, t, "s") for i, t, _ in test], "doc_id long, text string, source string"), model).where("score > 0").collect()}
+    assert sum(i in got for i, _, y in test if y) >= 0.96 * sum(y for _, _, y in test)
+    monkeypatch.setattr(abuse, "fit", lambda data, words, weight: weight)
+    few = lab.where("doc_id < 40").withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    assert abuse.train(docs, few, limit=5, clean=6) == (30 / 6) / (10 / 5) and abuse.train(docs, few) == 1
+
+
 def test_least_weight_of_terms(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c."), (2, "d e f.")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1, 1), (2, 0, 1, 1)], "doc_id long, toxic int, rater int, rated_at int")
